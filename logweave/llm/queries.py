@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import fingerprints
+from . import bpe, fingerprints, jaccard, licenses, sharding, warc
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
+    "op5_sharding": sharding.op5_sharding,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_warc": warc.op9_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_licenses": licenses.sql(),
+    "op9_warc": warc.SQL,
+}
