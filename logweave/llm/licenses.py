@@ -161,7 +161,7 @@ def sql() -> str:
     return f"""
 WITH tw(t, label, base, i, w, must) AS (VALUES {rows}),
 docs AS (SELECT row_number() OVER () AS r, doc_id,
-  list_filter(regexp_split_to_array({lower}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS words FROM documents),
+  list_filter(regexp_split_to_array({lower}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents),
 places AS (SELECT r, unnest(words) AS w, unnest(range(len(words))) AS p FROM docs),
 df AS (SELECT w, count(DISTINCT r) AS n FROM places WHERE w IN (SELECT w FROM tw) GROUP BY w),
 weights AS (SELECT tw.*, CASE WHEN (SELECT count(*) FROM docs) // (coalesce(df.n, 0) + 1) = 0 THEN 1

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard, licenses, sharding, warc
+from . import bpe, decontaminate, fingerprints, jaccard, licenses, sharding, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_sharding": sharding.op5_sharding,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_fingerprints": fingerprints.op7_fingerprints,
