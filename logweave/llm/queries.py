@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprints, jaccard, licenses, sharding, warc
+from . import bpe, decontaminate, fingerprints, jaccard, licenses, sharding, suffixes, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op3_suffixes": suffixes.op3_suffixes,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_sharding": sharding.op5_sharding,
     "op6_jaccard": jaccard.op6_jaccard,
