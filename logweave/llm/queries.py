@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprints, jaccard, licenses, sharding, suffixes, warc
+from . import bpe, decontaminate, fingerprints, html_text, jaccard, licenses, quality, sharding, suffixes, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op2_quality": quality.op2_quality,
     "op3_suffixes": suffixes.op3_suffixes,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_sharding": sharding.op5_sharding,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_bpe": bpe.op8_bpe,
     "op9_warc": warc.op9_warc,
+    "op10_html": html_text.op10_html,
 }
 
 ORACLES: dict[str, str] = {
