@@ -1,15 +1,71 @@
-"""Training-data pipeline; the stages follow as their operators are written."""
+"""Training-data pipeline: quality, near duplicates, repeated passages, benchmark leaks, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns the columns of documents; the last returns token digests.  Stages
+see a doc_id, text and any other columns; null and empty texts are kept until
+the quality stage rejects them or not, by its prior.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logweave.llm import bpe, decontaminate, jaccard, quality, suffixes
+from logweave.llm.common import read_table, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line CRF doesn't reject; it is fitted on the labelled ones among them."""
+    return quality.good_documents(docs, quality.fitted(docs, read_table(spark, sf_dir, "labels", ["doc_id", "quality"])))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one whose doc_id names the group.
+
+    Groups share five-word shingles to 0.8 or more.  Texts without words are in
+    no group and stay; of rows with an equal doc_id and words, one stays.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = jaccard.join_documents(docs.select("doc_id", "text"), parts, width=5, percent=80)
+    gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id").distinct()
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    again = written(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if not again.head(1):
+        return kept
+    repeated = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_anti").unionByName(repeated)
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words or more that stand at an earlier place."""
+    return suffixes.without_repeats(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.clean_documents(docs, read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    return bpe.encode_documents(docs.select("doc_id", "text"), *bpe.default_vocabulary())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_passages", repeated_passage_stage),
+    ("decontamination", decontamination_stage),
+    ("tokens", token_stage),
+]
 
-STAGES: list = []
-ORACLE_SQL = None
+ORACLE_SQL = None  # the stages' models, set joins and vocabularies are beyond SQL; tests/llm compares them with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stage's rows written before the next reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
