@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import log_queries, relational
+
+QUERIES: dict = {**log_queries.QUERIES, **relational.QUERIES}
+ORACLES: dict[str, str] = {**log_queries.ORACLES, **relational.ORACLES}
