@@ -235,3 +235,93 @@ sql("window_sliding", "SELECT window.start AS start, count(*) AS n FROM {events}
 sql("window_session", "SELECT user_id, session_window.start AS start, count(*) AS n FROM {events} GROUP BY user_id, session_window(ts, '3 hours')",
     """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM
  (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 3 HOURS THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, s""")
+
+
+# Further families
+
+sql("fn_bits", "SELECT p_partkey, bit_count(p_size) AS c, p_size & 12 AS a, p_size | 3 AS o, p_size ^ 5 AS x, shiftleft(p_size, 2) AS sl, shiftright(p_size, 1) AS sr, cast(getbit(p_size, 2) AS INT) AS g FROM {part}".replace("bit_count(p_size)", "cast(bit_count(p_size) AS INT)"),
+    "SELECT p_partkey, bit_count(p_size)::INT AS c, p_size & 12 AS a, p_size | 3 AS o, xor(p_size, 5) AS x, p_size << 2 AS sl, p_size >> 1 AS sr, (p_size >> 2) & 1 AS g FROM part")
+sql("fn_fuzzy", "SELECT p_partkey, levenshtein(p_brand, p_type) AS d FROM {part}", "SELECT p_partkey, levenshtein(p_brand, p_type)::INT AS d FROM part")
+sql("fn_series", "SELECT n_nationkey, s.t AS t FROM {nation} LATERAL VIEW explode(sequence(TIMESTAMP_NTZ '2024-01-01', TIMESTAMP_NTZ '2024-01-03', INTERVAL 12 HOURS)) s AS t",
+    "SELECT n_nationkey, t FROM nation, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-03', INTERVAL 12 HOURS) g(t)")
+sql("fn_nulls", "SELECT o_orderkey, size(filter(array(nullif(o_orderstatus, 'F'), o_orderpriority, NULL), x -> x IS NULL)) AS n FROM {orders}", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS n FROM orders")
+sql("fn_xml", "SELECT n_nationkey, xpath_string(concat('<a><b>', n_name, '</b><b>x</b></a>'), 'a/b[1]') AS b, size(xpath(concat('<a><b>', n_name, '</b><b>x</b></a>'), 'a/b/text()')) AS n FROM {nation}", "SELECT n_nationkey, n_name AS b, 2 AS n FROM nation")
+sql("fn_json_build", "SELECT n_nationkey, to_json(named_struct('k', n_nationkey, 'r', array(n_regionkey, 1))) AS j, json_array_length(to_json(array(n_regionkey, 1))) AS n FROM {nation}", "SELECT n_nationkey, '{\"k\":' || n_nationkey || ',\"r\":[' || n_regionkey || ',1]}' AS j, 2 AS n FROM nation")
+sql("fn_text_search", "SELECT p_partkey, size(array_intersect(split(lower(p_name), '[^a-z]+'), array('a', 'part', 'red'))) > 0 AS hit FROM {part}", "SELECT p_partkey, len(list_intersect(regexp_split_to_array(lower(p_name), '[^a-z]+'), ['a', 'part', 'red'])) > 0 AS hit FROM part")
+sql("connect_by", "WITH RECURSIVE t(k, depth, path) AS (SELECT n_nationkey, 0, cast(n_nationkey AS STRING) FROM {nation} WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, t.depth + 1, t.path || '>' || n.n_nationkey FROM {nation} n JOIN t ON n.n_nationkey IN (2 * t.k + 1, 2 * t.k + 2)) SELECT k, depth, path FROM t",
+    "WITH RECURSIVE t(k, depth, path) AS (SELECT n_nationkey, 0, n_nationkey::VARCHAR FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, t.depth + 1, t.path || '>' || n.n_nationkey FROM nation n JOIN t ON n.n_nationkey IN (2 * t.k + 1, 2 * t.k + 2)) SELECT k, depth, path FROM t")
+
+
+@frame("WITH RECURSIVE t(origin, node) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT t.origin, (t.node * 3 + 1) % 25 FROM t) SELECT origin, node FROM t")
+def recursive_distinct(spark, sf_dir):
+    from ..operators.recursion import reachable
+
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"))
+    return reachable(nodes.select("src", ((F.col("src") * 3 + 1) % 25).alias("dst")), nodes.select(F.col("src").alias("origin")))
+
+
+MERGED = """SELECT coalesce(s_suppkey, k) AS s_suppkey, CASE WHEN k IS NULL THEN s_acctbal ELSE bal END AS s_acctbal,
+ CASE WHEN k IS NULL THEN 'keep' WHEN s_suppkey IS NULL THEN 'insert' WHEN bal < 0 THEN 'delete' ELSE 'update' END AS action
+ FROM supplier FULL JOIN (SELECT c_custkey * 3 AS k, c_acctbal AS bal FROM customer WHERE c_custkey < 60) ON s_suppkey = k WHERE NOT (s_suppkey IS NULL AND bal < 0)"""
+
+
+def merged(spark, sf_dir):
+    from ..operators import modify
+
+    target = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    source = table(spark, sf_dir, "customer").where("c_custkey < 60").select((F.col("c_custkey") * 3).alias("s_suppkey"), F.col("c_acctbal").alias("s_acctbal"))
+    return modify.merge(target, source, ["s_suppkey"], F.col("s_acctbal") < 0)
+
+
+@frame(f"SELECT s_suppkey, s_acctbal FROM ({MERGED}) WHERE action <> 'delete'")
+def modify_merge(spark, sf_dir):
+    from ..operators import modify
+
+    return modify.result(merged(spark, sf_dir))
+
+
+@frame(f"SELECT * FROM ({MERGED}) WHERE action <> 'keep'")
+def modify_returning(spark, sf_dir):
+    from ..operators import modify
+
+    return modify.returning(merged(spark, sf_dir))
+
+
+@frame("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier WHERE NOT coalesce(s_suppkey % 7 = 0, false)")
+def modify_update_delete(spark, sf_dir):
+    from ..operators import modify
+
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    return modify.delete_where(modify.update_where(rows, F.col("s_acctbal") < 0, s_acctbal=F.lit(0.0)), F.col("s_suppkey") % 7 == 0)
+
+
+@frame("SELECT s_suppkey AS k FROM supplier UNION SELECT c_custkey * 2 FROM customer WHERE c_custkey < 100")
+def modify_on_conflict(spark, sf_dir):
+    from ..operators import modify
+
+    target = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    return modify.insert_or_nothing(target, table(spark, sf_dir, "customer").where("c_custkey < 100").select((F.col("c_custkey") * 2).alias("k")), ["k"])
+
+
+@frame("""SELECT p_partkey, '10.' || p_size || '.' || p_partkey % 256 || '.7' AS host, 20 AS bits, '255.255.240.0' AS mask,
+ '10.' || p_size || '.' || (p_partkey % 256) // 16 * 16 || '.0/20' AS net, '10.' || p_size || '.' || ((p_partkey % 256) // 16 * 16 + 15) || '.255/20' AS last FROM part""")
+def fn_network(spark, sf_dir):
+    from ..functions import network
+
+    a = F.concat(F.lit("10."), F.col("p_size"), F.lit("."), F.col("p_partkey") % 256, F.lit(".7/20"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", a.alias("a"))
+    a = F.col("a")
+    return rows.select("p_partkey", network.host(a).alias("host"), network.mask_length(a).alias("bits"), network.netmask(a).alias("mask"), network.network(a).alias("net"), network.broadcast_address(a).alias("last"))
+
+
+@frame("SELECT p_partkey, p_size < 20 AS has, p_size < 30 AND 10 < p_size + 5 AS meets, p_size = 30 OR p_size + 5 = 10 AS next_to, CASE WHEN p_size < 30 AND 10 < p_size + 5 THEN greatest(p_size, 10) END AS lo FROM part")
+def fn_ranges(spark, sf_dir):
+    size = F.col("p_size")
+    r, fixed = compat.range_of(size, size + 5), compat.range_of(F.lit(10), F.lit(30))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        compat.range_contains(compat.range_of(F.lit(None).cast("int"), F.lit(20)), size).alias("has"),
+        compat.range_overlaps(r, fixed).alias("meets"),
+        compat.range_adjacent(r, fixed).alias("next_to"),
+        compat.range_intersection(r, fixed)["lo"].alias("lo"),
+    )
