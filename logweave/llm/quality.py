@@ -197,7 +197,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Chain:
     import pyarrow as pa
 
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
-    sample = known.groupBy("doc_id").agg(F.min("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
+    sample = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
 
     def run(batches):
         for batch in W.batches_of(batches):
@@ -205,7 +205,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Chain:
             cut = [features[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(cut, pa.binary())], ["doc_id", "label", "lines"])
 
-    chosen = docs.select("doc_id", or_empty("text").alias("text")).join(F.broadcast(sample), "doc_id")  # MOST_ROWS rows of two numbers
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").alias("text")).join(F.broadcast(sample), "doc_id")  # MOST_ROWS rows of two numbers
     rows = chosen.mapInArrow(run, "doc_id long, label int, lines binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["lines"]))
     lines, first, marks, total = [], [0], [], 0

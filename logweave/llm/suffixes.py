@@ -170,7 +170,8 @@ def repeats(docs: DataFrame, parts: int) -> DataFrame:
 
     place = F.struct("id", "at")
     earliest = found.groupBy("hash").agg(F.min(place).alias("e"), F.count("*").alias("n")).where("n > 1").select("hash", F.col("e.id").alias("first_id"), F.col("e.at").alias("first_at"))
-    hits = found.join(earliest, "hash").where("id <> first_id or at <> first_at")
+    # Written first: joined to an aggregate in the same stage, a passage that very many documents share could not be split.
+    hits = found.join(written(earliest, "earliest"), "hash").where("id <> first_id or at <> first_at")
     shift = hits.withColumn("shift", F.col("at") - F.col("first_at"))
     line = Window.partitionBy("id", "first_id", "shift").orderBy("at")
     runs = shift.withColumn("run", F.col("at") - F.row_number().over(line))
