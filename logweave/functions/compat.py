@@ -1,4 +1,4 @@
-"""Functions whose meaning differs between PostgreSQL and Spark, as column expressions with the former's meaning."""
+"""SQL functions that Spark lacks or reads in another way, with the common server meaning, as column expressions."""
 
 from __future__ import annotations
 

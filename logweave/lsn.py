@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Layout of the log.
 SEGMENT_BYTES = 16 * 1024 * 1024
 SEGMENTS_PER_ID = 0x100000000 // SEGMENT_BYTES
 SEGMENT_NAME = r"^[0-9A-F]{24}$"
