@@ -84,7 +84,7 @@ def shard_documents(docs: DataFrame, shards: int, parts: int) -> DataFrame:
     total = rows.count()
     mean = max(1.0, total / shards)
     parts_of = F.ceil(F.col("all") / mean)  # shards that a group needs, if it is larger than one
-    start = F.when(F.col("all") > mean, F.pmod(F.xxhash64("group") + F.pmod(F.col("salt"), parts_of), F.lit(shards))).otherwise(F.pmod(F.col("salt"), F.lit(shards)))
+    start = F.when(F.col("all") > mean, F.pmod(F.pmod(F.xxhash64("group"), F.lit(shards)) + F.pmod(F.col("salt"), parts_of), F.lit(shards))).otherwise(F.pmod(F.col("salt"), F.lit(shards)))
     moved, load = propagate(written(cells.join(linked, "group").withColumn("shard", start.cast("int")), "cells"), shards, mean)
 
     room = [max(0.0, mean - load.get(s, 0)) for s in range(shards)]
