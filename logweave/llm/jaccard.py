@@ -8,9 +8,10 @@ those found frequent in a hash sample last, else by hash.  The matrix holds
 each group's union of its members' prefixes in that order, with the sizes it
 spans.  A query (class) counts its prefix tokens in each group's union, which
 bounds its overlap with any member from above: to reach the threshold it must
-share LAP tokens.  Only groups that qualify are opened, and their members of a
-fitting size are tested exactly.  The order and the leaders steer cost only:
-no link is lost.
+share LAP tokens.  Only groups that qualify are opened: their members, in
+blocks, meet the queries, in blocks, and a bound on the symmetric difference
+from 1,024-bit parity sketches leaves few pairs, which are tested exactly.  The
+order and the leaders steer cost only: no link is lost.
 
 Defined results: null, empty and word-less texts have size 0 and are linked
 with nothing; fewer words than four are one shingle; repeated rows are each
@@ -33,6 +34,8 @@ WIDTH, PERCENT = 4, 85
 KEYS = 4  # minhash keys that offer leaders
 LAP = 2  # tokens that prefixes must share
 SAMPLE, FREQUENT, MOST_FREQUENT = 32, 3, 1 << 21  # 1 of 32 documents; that often there; 16 MB of hashes at most
+BITS = 1024  # of a parity sketch
+PER_BLOCK = 256  # members or queries, on average
 NO_ID = -(2**63)
 
 
@@ -61,13 +64,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """Sketch in which each token flips a bit: two sketches differ in no more bits than their sets in tokens."""
+    return np.packbits((np.bincount((tokens >> np.uint64(20)) & np.uint64(BITS - 1), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def prefix_length(n: int, percent: int, lap: int) -> int:
     """Tokens of which two sets that link share lap (or all that there are)."""
     return min(n, n - -(-percent * n // 100) + lap)
 
 
 def summaries(docs: DataFrame, width: int) -> DataFrame:
-    """id, set size, set name and minhash keys of every document."""
+    """id, set size, set name, minhash keys and parity sketch of every document."""
     import pyarrow as pa
 
     def run(batches):
@@ -76,9 +84,9 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
             sets = sets_of(batch.column("text"), width)
             names = np.array([signature(s) for s in sets], np.uint64).view(np.int64)
             keys = [(W.mix(s[None, :] ^ seeds[:, None]).min(axis=1).view(np.int64).tolist() if len(s) else []) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names), pa.array(keys, pa.list_(pa.int64())), pa.array(map(parity, sets), pa.binary())], ["id", "n", "sig", "keys", "bits"])
 
-    return docs.mapInArrow(run, "id long, n long, sig long, keys array<long>")
+    return docs.mapInArrow(run, "id long, n long, sig long, keys array<long>, bits binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -201,29 +209,63 @@ def qualifying(matrix: DataFrame, percent: int, parts: int) -> DataFrame:
     return hits.groupBy("node", "grp").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= need).select("node", "grp", "n")
 
 
+def in_blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (grp, node, id, n, bits) packed into about PER_BLOCK a block: (grp, name)."""
+    blocks = rows.groupBy("grp").agg(F.ceil(F.count("*") / PER_BLOCK).alias("blocks"))
+    dealt = rows.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    return dealt.groupBy("grp", "block").agg(F.collect_list(F.struct("node", "id", "n", "bits")).alias(name)).drop("block")
+
+
+def opened_pairs(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, a_id, b, b_id) of queries and members of the groups they open that no bound rules out."""
+    import pyarrow as pa
+
+    def columns(rows):
+        return [np.array([r[c] for r in rows]) for c in ("node", "id", "n")] + [np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1)]
+
+    def run(batches):
+        for batch in batches:
+            for q, m in zip(batch.column("queries"), batch.column("members")):
+                (q_node, q_id, q_n, q_bits), (m_node, m_id, m_n, m_bits) = columns(q.as_py()), columns(m.as_py())
+                for k in range(len(q_node)):
+                    apart = np.bitwise_count(m_bits ^ q_bits[k]).sum(axis=1).astype(np.int64)
+                    both = m_n + q_n[k]
+                    ok = np.flatnonzero((np.maximum(apart, np.abs(m_n - q_n[k])) * (100 + percent) <= both * (100 - percent)) & (m_node != q_node[k]))
+                    if len(ok):
+                        swap = m_node[ok] < q_node[k]
+                        mine, mine_id = np.full(len(ok), q_node[k]), np.full(len(ok), q_id[k])
+                        pick = lambda x, y: pa.array(np.where(swap, x, y))  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays([pick(m_node[ok], mine), pick(m_id[ok], mine_id), pick(mine, m_node[ok]), pick(mine_id, m_id[ok])], ["a", "a_id", "b", "b_id"])
+
+    both = in_blocks(queries, "queries").join(in_blocks(members, "members"), "grp")
+    return both.select("queries", "members").mapInArrow(run, "a long, a_id long, b long, b_id long").distinct()
+
+
 def join_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document (doc_id, text)."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), or_empty("text").alias("text"))
     all_docs = written(summaries(texts, width), "sets")
-    classes = written(all_docs.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = written(all_docs.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
 
+    # The leader of a key is the class that shares keys with most others: copies of one text are nearer to it than to each other.
     keyed = classes.select("sig", "id", "n", F.posexplode("keys").alias("k", "key"))
-    leaders = keyed.groupBy("k", "key").agg(F.min(F.struct("id", "sig", "n")).alias("l"), F.count("*").alias("m")).where("m > 1").select("k", "key", "l")
+    shared = keyed.groupBy("k", "key").agg(F.count("*").alias("m")).where("m > 1")
+    keyed = written(keyed.join(shared, ["k", "key"]), "keyed")
+    liked = keyed.groupBy("sig").agg(F.sum("m").alias("liked"))
+    leaders = keyed.join(liked, "sig").groupBy("k", "key").agg(F.max_by(F.struct("id", "sig", "n"), F.struct("liked", -F.col("id"))).alias("l"))
     offered = keyed.join(leaders, ["k", "key"]).where("sig <> l.sig")
     fits = f"100 * least(n, l.n) >= {percent} * greatest(n, l.n)"
     offered = offered.where(fits).select(F.col("l.sig").alias("a"), F.col("l.id").alias("a_id"), F.col("sig").alias("b"), F.col("id").alias("b_id")).distinct()
     links = written(verified(written(offered, "offered"), texts, width, percent), "verified")
     groups = written(components(links), "groups")
 
-    nodes = classes.select("sig", "id", "n").join(groups.withColumnRenamed("node", "sig"), "sig", "left")
-    nodes = written(nodes.select("id", F.col("sig").alias("node"), F.coalesce("component", "sig").alias("grp"), "n"), "nodes")
-    matrix = prefixes(texts.join(nodes, "id"), width, percent, frequent_tokens(texts, width))
-    open_groups = qualifying(matrix, percent, parts)
-    member = nodes.select("grp", F.col("node").alias("b"), F.col("id").alias("b_id"), F.col("n").alias("b_n"))
-    opened = open_groups.join(member, "grp").where(f"100 * least(n, b_n) >= {percent} * greatest(n, b_n)").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    names = nodes.select("node", "id")
-    opened = opened.join(names.toDF("a", "a_id"), "a").join(names.toDF("b", "b_id"), "b")
-    more = verified(written(opened, "opened"), texts, width, percent)
+    nodes = classes.select("sig", "id", "n", "bits").join(groups.withColumnRenamed("node", "sig"), "sig", "left")
+    nodes = written(nodes.select("id", F.col("sig").alias("node"), F.coalesce("component", "sig").alias("grp"), "n", "bits"), "nodes")
+    matrix = prefixes(texts.join(nodes.select("id", "node", "grp"), "id"), width, percent, frequent_tokens(texts, width))
+    asked = qualifying(matrix, percent, parts).select("node", "grp").join(nodes.select("node", "id", "n", "bits"), "node")
+    asked = written(asked.select("grp", "node", "id", "n", "bits"), "asked")
+    of_asked = nodes.join(asked.select("grp").distinct(), "grp", "left_semi").select("grp", "node", "id", "n", "bits")
+    more = verified(written(opened_pairs(asked, of_asked, percent), "opened"), texts, width, percent)
 
     linked = components(links.unionByName(more))
     smallest = linked.join(classes.select(F.col("sig").alias("node"), "id"), "node")
