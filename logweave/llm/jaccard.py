@@ -2,11 +2,11 @@
 
 A document's set is its distinct four-word shingles, as 64-bit hashes.
 Documents with equal sets form one class.  (1) Classes that share a minhash
-meet the smallest of their key (a leader) and are linked to it where the exact
-test holds; linked classes are the groups.  (2) Tokens have one global order:
+meet a leader of their key and are linked to it where the exact test holds.
+Groups are the classes with the same most liked leader, linked or not.  (2) Tokens have one global order:
 those found frequent in a hash sample last, else by hash.  The matrix holds
 each group's union of its members' prefixes in that order, with the sizes it
-spans.  A query (class) counts its prefix tokens in each group's union, which
+spans and the links so far.  A query (class) counts its prefix tokens in each group's union, which
 bounds its overlap with any member from above: to reach the threshold it must
 share LAP tokens.  Only groups that qualify are opened: their members, in
 blocks, meet the queries, in blocks, and a bound on the symmetric difference
@@ -36,7 +36,7 @@ LAP = 2  # tokens that prefixes must share
 SAMPLE, FREQUENT, MOST_FREQUENT = 32, 3, 1 << 21  # 1 of 32 documents; that often there; 16 MB of hashes at most
 BITS = 1024  # of a parity sketch
 PER_BLOCK = 256  # members or queries, on average
-NO_ID = -(2**63)
+NO_ID = -(2**63) + 1  # its negative is a number too
 
 
 def sets_of(column, width: int) -> list[np.ndarray]:
@@ -130,7 +130,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(nodes: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(token, group, node, n) for the prefix tokens of every class (id, node, grp, text)."""
+    """(token, grp, comp, node, n) for the prefix tokens of every class (id, node, grp, comp, text)."""
     import pyarrow as pa
 
     shared = nodes.sparkSession.sparkContext.broadcast(frequent)  # at most 16 MB, see MOST_FREQUENT
@@ -149,30 +149,29 @@ def prefixes(nodes: DataFrame, width: int, percent: int, frequent: np.ndarray) -
             of = np.concatenate(of)
             pick = lambda name: batch.column(name).take(pa.array(of))
             sizes = np.array([len(s) for s in sets])[of]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pick("grp"), pick("node"), pa.array(sizes, pa.int32())], ["token", "grp", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pick("grp"), pick("comp"), pick("node"), pa.array(sizes, pa.int32())], ["token", "grp", "comp", "node", "n"])
 
-    return nodes.select("node", "grp", "text").mapInArrow(run, "token long, grp long, node long, n int")
+    return nodes.select("node", "grp", "comp", "text").mapInArrow(run, "token long, grp long, comp long, node long, n int")
 
 
 def qualifying(matrix: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(node, grp) where the class shares LAP prefix tokens with the union of another group that holds a fitting size."""
+    """(node, grp) where the class shares LAP prefix tokens with the union of a group that holds a fitting size and a class not linked to it yet."""
     import pyarrow as pa
 
     schema = pa.schema([("node", pa.int64()), ("grp", pa.int64()), ("n", pa.int64())])
+    names = ("token", "grp", "comp", "node", "n")
 
-    def of_run(grp, node, n):
-        """Queries and other groups' columns of one token; groups as (id, smallest, largest size)."""
+    def of_run(grp, comp, node, n):
+        """The token's queries with the groups that have it, from each group's sizes and components here."""
         ids, inverse = np.unique(grp, return_inverse=True)
-        if len(ids) < 2:
-            return
         low, high = np.full(len(ids), 1 << 30), np.zeros(len(ids), np.int64)
-        np.minimum.at(low, inverse, n)
-        np.maximum.at(high, inverse, n)
+        first, last = np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), np.iinfo(np.int64).min)
+        for put, to, what in ((np.minimum, low, n), (np.maximum, high, n), (np.minimum, first, comp), (np.maximum, last, comp)):
+            put.at(to, inverse, what)
         step = max(1, (1 << 20) // len(ids))
         for k in range(0, len(node), step):
-            mine = n[k : k + step, None]
-            ok = (100 * high >= percent * mine) & (100 * mine >= percent * low) & (inverse[k : k + step, None] != np.arange(len(ids)))
-            q, g = np.nonzero(ok)
+            mine, own = n[k : k + step, None], comp[k : k + step, None]
+            q, g = np.nonzero((100 * high >= percent * mine) & (100 * mine >= percent * low) & ((first != own) | (last != own)))
             if len(q):
                 yield pa.RecordBatch.from_arrays([pa.array(node[k + q]), pa.array(ids[g]), pa.array(n[k + q].astype(np.int64))], schema=schema)
 
@@ -180,26 +179,28 @@ def qualifying(matrix: DataFrame, percent: int, parts: int) -> DataFrame:
         held: list[tuple] = []
 
         def flush(parts):
-            token, grp, node, n = (np.concatenate(x) for x in zip(*parts))
+            token, *rest = (np.concatenate(x) for x in zip(*parts))
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             ends = np.r_[starts[1:], len(token)]
             many = ends - starts > 1
             for a, b in zip(starts[many].tolist(), ends[many].tolist()):
-                if (grp[a:b] != grp[a]).any():
-                    yield from of_run(grp[a:b], node[a:b], n[a:b])
+                comp = rest[1][a:b]
+                if (comp != comp[0]).any():
+                    yield from of_run(*(c[a:b] for c in rest))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, grp, node, n = (batch.column(c).to_numpy() for c in ("token", "grp", "node", "n"))
+            columns = [batch.column(c).to_numpy() for c in names]
+            token = columns[0]
             cut = int(np.searchsorted(token, token[-1]))  # the last run may go on
             if cut:
-                yield from flush([*held, (token[:cut], grp[:cut], node[:cut], n[:cut])])
+                yield from flush([*held, tuple(c[:cut] for c in columns)])
                 held = []
             elif held and held[-1][0][-1] != token[0]:
                 yield from flush(held)
                 held = []
-            held.append((token[cut:], grp[cut:], node[cut:], n[cut:]))
+            held.append(tuple(c[cut:] for c in columns))
         if held:
             yield from flush(held)
 
@@ -210,10 +211,10 @@ def qualifying(matrix: DataFrame, percent: int, parts: int) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (grp, node, id, n, bits) packed into about PER_BLOCK a block: (grp, name)."""
+    """Rows (grp, node, comp, id, n, bits) packed into about PER_BLOCK a block: (grp, name)."""
     blocks = rows.groupBy("grp").agg(F.ceil(F.count("*") / PER_BLOCK).alias("blocks"))
     dealt = rows.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    return dealt.groupBy("grp", "block").agg(F.collect_list(F.struct("node", "id", "n", "bits")).alias(name)).drop("block")
+    return dealt.groupBy("grp", "block").agg(F.collect_list(F.struct("node", "comp", "id", "n", "bits")).alias(name)).drop("block")
 
 
 def opened_pairs(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -221,16 +222,17 @@ def opened_pairs(queries: DataFrame, members: DataFrame, percent: int) -> DataFr
     import pyarrow as pa
 
     def columns(rows):
-        return [np.array([r[c] for r in rows]) for c in ("node", "id", "n")] + [np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1)]
+        return [np.array([r[c] for r in rows]) for c in ("node", "comp", "id", "n")] + [np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1)]
 
     def run(batches):
         for batch in batches:
             for q, m in zip(batch.column("queries"), batch.column("members")):
-                (q_node, q_id, q_n, q_bits), (m_node, m_id, m_n, m_bits) = columns(q.as_py()), columns(m.as_py())
+                (q_node, q_comp, q_id, q_n, q_bits), (m_node, m_comp, m_id, m_n, m_bits) = columns(q.as_py()), columns(m.as_py())
                 for k in range(len(q_node)):
-                    apart = np.bitwise_count(m_bits ^ q_bits[k]).sum(axis=1).astype(np.int64)
-                    both = m_n + q_n[k]
-                    ok = np.flatnonzero((np.maximum(apart, np.abs(m_n - q_n[k])) * (100 + percent) <= both * (100 - percent)) & (m_node != q_node[k]))
+                    # Apart in size at most as the threshold lets, and not linked yet; the sketches are read for those only.
+                    ok = np.flatnonzero((m_comp != q_comp[k]) & (np.abs(m_n - q_n[k]) * (100 + percent) <= (m_n + q_n[k]) * (100 - percent)))
+                    apart = np.bitwise_count(m_bits[ok] ^ q_bits[k]).sum(axis=1).astype(np.int64)
+                    ok = ok[apart * (100 + percent) <= (m_n[ok] + q_n[k]) * (100 - percent)]
                     if len(ok):
                         swap = m_node[ok] < q_node[k]
                         mine, mine_id = np.full(len(ok), q_node[k]), np.full(len(ok), q_id[k])
@@ -252,19 +254,21 @@ def join_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: int
     shared = keyed.groupBy("k", "key").agg(F.count("*").alias("m")).where("m > 1")
     keyed = written(keyed.join(shared, ["k", "key"]), "keyed")
     liked = keyed.groupBy("sig").agg(F.sum("m").alias("liked"))
-    leaders = keyed.join(liked, "sig").groupBy("k", "key").agg(F.max_by(F.struct("id", "sig", "n"), F.struct("liked", -F.col("id"))).alias("l"))
-    offered = keyed.join(leaders, ["k", "key"]).where("sig <> l.sig")
+    leaders = keyed.join(liked, "sig").groupBy("k", "key").agg(F.max(F.struct("liked", (-F.col("id")).alias("back"), "id", "sig", "n")).alias("l"))
+    led = keyed.join(leaders, ["k", "key"])
+    families = led.groupBy("sig").agg(F.max(F.struct("l.liked", "l.back", "l.sig"))["sig"].alias("grp"))
+    offered = led.where("sig <> l.sig")
     fits = f"100 * least(n, l.n) >= {percent} * greatest(n, l.n)"
     offered = offered.where(fits).select(F.col("l.sig").alias("a"), F.col("l.id").alias("a_id"), F.col("sig").alias("b"), F.col("id").alias("b_id")).distinct()
     links = written(verified(written(offered, "offered"), texts, width, percent), "verified")
     groups = written(components(links), "groups")
 
-    nodes = classes.select("sig", "id", "n", "bits").join(groups.withColumnRenamed("node", "sig"), "sig", "left")
-    nodes = written(nodes.select("id", F.col("sig").alias("node"), F.coalesce("component", "sig").alias("grp"), "n", "bits"), "nodes")
-    matrix = prefixes(texts.join(nodes.select("id", "node", "grp"), "id"), width, percent, frequent_tokens(texts, width))
-    asked = qualifying(matrix, percent, parts).select("node", "grp").join(nodes.select("node", "id", "n", "bits"), "node")
-    asked = written(asked.select("grp", "node", "id", "n", "bits"), "asked")
-    of_asked = nodes.join(asked.select("grp").distinct(), "grp", "left_semi").select("grp", "node", "id", "n", "bits")
+    nodes = classes.select("sig", "id", "n", "bits").join(groups.withColumnRenamed("node", "sig"), "sig", "left").join(families, "sig", "left")
+    nodes = written(nodes.select("id", F.col("sig").alias("node"), F.coalesce("component", "sig").alias("comp"), F.coalesce("grp", "sig").alias("grp"), "n", "bits"), "nodes")
+    matrix = prefixes(texts.join(nodes.select("id", "node", "comp", "grp"), "id"), width, percent, frequent_tokens(texts, width))
+    asked = qualifying(matrix, percent, parts).select("node", "grp").join(nodes.select("node", "comp", "id", "n", "bits"), "node")
+    asked = written(asked.select("grp", "node", "comp", "id", "n", "bits"), "asked")
+    of_asked = nodes.join(asked.select("grp").distinct(), "grp", "left_semi").select("grp", "node", "comp", "id", "n", "bits")
     more = verified(written(opened_pairs(asked, of_asked, percent), "opened"), texts, width, percent)
 
     linked = components(links.unionByName(more))
