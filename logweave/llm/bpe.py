@@ -219,7 +219,7 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def chunks(texts: list[str], size: int = 4 << 20) -> Iterator[list[str]]:
+def chunks(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
     """Lists of texts of about so many characters, so that long texts don't pile up."""
     part, held = [], 0
     for t in texts:

@@ -86,7 +86,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return span_hashes(words, starts, starts + width)
 
 
-def batches_of(batches, size: int = 8 << 20):
+def batches_of(batches, size: int = 2 << 20):
     """Arrow batches re-cut so that none holds much more than so many bytes of text, unless one text does."""
     for batch in batches:
         if not batch.num_rows:
