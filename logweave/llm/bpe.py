@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import or_empty, read_table
+from .common import or_empty, read_table, small_batches
 
 LONG = 256  # bytes of a piece from which the heap takes over
 CACHE = 400_000  # distinct pieces that a task keeps; more are encoded anew
@@ -236,6 +236,7 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, with_ids:
     """doc_id, n_tokens and digests of the ids and of the decoded bytes; with_ids adds the ids themselves."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the vocabulary file: a fixed size of about 1 MB
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+BATCH_BYTES = 4 << 20  # of an Arrow batch, unless one row has more
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
@@ -18,6 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python at most BATCH_BYTES, or one row, at once: the rows of long texts can be many.
+
+    The setting stays in the session, as results are computed after the call.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import or_empty, read_table
+from .common import or_empty, read_table, small_batches
 
 # 1 for positions that count. Weight 8 of span 11 or 12; any two replaced words in a span are ignored by some mask nearby.
 MASKS = ("11101011011", "110100110111", "111011010101")
@@ -144,6 +144,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row for each passage of a benchmark item in a document; clean documents have none."""
     schema = "doc_id long, item_id long, doc_word int, item_word int, n_words int, n_same int"
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").alias("text"))
     out = None
     for ids, texts in blocks(items):
@@ -177,6 +178,7 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     no clean row away: a row goes if its own text holds a passage.
     """
     spark, names = docs.sparkSession, docs.columns
+    small_batches(spark)
     out = docs
     for ids, texts in blocks(items):
         shared = spark.sparkContext.broadcast((ids, texts))

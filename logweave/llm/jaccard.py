@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import or_empty, read_table, written
+from .common import or_empty, read_table, small_batches, written
 from .components import components
 
 WIDTH, PERCENT = 4, 85
@@ -245,6 +245,7 @@ def opened_pairs(queries: DataFrame, members: DataFrame, percent: int) -> DataFr
 
 def join_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document (doc_id, text)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), or_empty("text").alias("text"))
     all_docs = written(summaries(texts, width), "sets")
     classes = written(all_docs.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import or_empty, read_table
+from .common import or_empty, read_table, small_batches
 
 MOST_ROWS, MOST_LINES = 4000, 200_000
 BINS, STEPS, THRESHOLD = 8, 150, 0.3
@@ -196,6 +196,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Chain:
     """The model from the bounded sample of labelled rows that are not held out."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
     sample = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import or_empty, read_table, written
+from .common import or_empty, read_table, small_batches, written
 
 SPAN, BLOCK = 50, 25
 CHOICE = SPAN - BLOCK + 1  # block places in a window of SPAN words
@@ -156,6 +156,7 @@ def candidate_windows(texts: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, parts: int) -> DataFrame:
     """(id, first_id, start, first_start, n_words): runs of words that also stand at an earlier place."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), or_empty("text").alias("text"))
     table = written(retained(texts), "suffixes")
     whole = table.where("id is not null").select("id", "sig", "n_words").where(F.col("n_words") >= SPAN)
