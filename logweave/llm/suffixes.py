@@ -187,35 +187,42 @@ def without_repeats(docs: DataFrame, parts: int) -> DataFrame:
     """
     kind = docs.schema
     spans = repeats(docs.select("doc_id", "text"), parts).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words")).alias("stop")))).alias("spans"))
-    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").alias("text"))
+    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    # One pass over all rows: their texts are shuffled once, and lie in row alone.
     joined = packed.join(written(spans.select("id", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")), "spans"), "id", "left")
-    plain = joined.where("starts is null").select("row.*")
-    cut = joined.where("starts is not null").select("row", "text", "starts", "stops").mapInArrow(_cut, f"row {kind.simpleString()}, text string")
-    fresh = cut.where("text <> ''").select("row.*", F.col("text").alias("\0new"))
-    fresh = fresh.withColumn("text", F.col("\0new"))
+    cut = joined.select("row", "starts", "stops").mapInArrow(_cut, f"row {kind.simpleString()}, text string, cut boolean").where("not cut or text <> ''")
+    columns = [F.col("row")[c].alias(c) for c in docs.columns]
+    at = docs.columns.index("text")
+    columns[at] = F.when(F.col("cut"), F.col("text")).otherwise(columns[at]).alias("text")
     if "n_chars" in docs.columns:
-        fresh = fresh.withColumn("n_chars", F.length("text").cast(kind["n_chars"].dataType))
-    return plain.unionByName(fresh.select(*docs.columns))
+        at = docs.columns.index("n_chars")
+        columns[at] = F.when(F.col("cut"), F.length("text").cast(kind["n_chars"].dataType)).otherwise(columns[at]).alias("n_chars")
+    return cut.select(*columns)
 
 
 def _cut(batches):
+    """Rows (row, starts, stops) as (row, text, cut): text is what is left where there are spans to cut, else null."""
     import pyarrow as pa
 
     for batch in batches:
-        data, offsets = W.text_bytes(batch.column("text"))
-        begin, end, first = W.word_spans(data, offsets, W.SPACES)
+        texts = batch.column("row").field("text")
         out = []
         for k, (starts, stops) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("stops").to_pylist())):
-            a, b = int(first[k]), int(first[k + 1])
-            gone = np.zeros(b - a + 1, np.int64)
-            np.add.at(gone, starts, 1)
-            np.add.at(gone, stops, -1)
+            if starts is None or not texts[k].is_valid:
+                out.append(None)
+                continue
+            data, offsets = W.text_bytes(texts.slice(k, 1))
+            begin, end, first = W.word_spans(data, offsets, W.SPACES)
+            gone = np.zeros(len(begin) + 1, np.int64)
+            np.add.at(gone, np.minimum(starts, len(begin)), 1)  # spans of another row with this doc_id may reach further
+            np.add.at(gone, np.minimum(stops, len(begin)), -1)
             kept = np.cumsum(gone[:-1]) == 0
             edges = np.flatnonzero(np.diff(np.r_[False, kept, False].astype(np.int8)))
             # From a kept run's first word to the word after it, so the white space between stays as it is.
-            pieces = [bytes(data[begin[a + x] : (begin[a + y] if a + y < b else offsets[k + 1])]) for x, y in zip(edges[::2], edges[1::2])]
+            pieces = [bytes(data[begin[x] : (begin[y] if y < len(begin) else len(data))]) for x, y in zip(edges[::2], edges[1::2])]
             out.append(b"".join(pieces).decode("utf-8").strip())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
+        left = pa.array(out, pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), left, left.is_valid()], ["row", "text", "cut"])
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
