@@ -10,8 +10,9 @@ spans and the links so far.  A query (class) counts its prefix tokens in each gr
 bounds its overlap with any member from above: to reach the threshold it must
 share LAP tokens.  Only groups that qualify are opened: their members, in
 blocks, meet the queries, in blocks, and a bound on the symmetric difference
-from 1,024-bit parity sketches leaves few pairs, which are tested exactly.  The
-order and the leaders steer cost only: no link is lost.
+from 1,024-bit parity sketches, and for large sets from counts by bucket,
+leaves few pairs, which are tested exactly.  The order and the leaders steer
+cost only: no link is lost.
 
 Defined results: null, empty and word-less texts have size 0 and are linked
 with nothing; fewer words than four are one shingle; repeated rows are each
@@ -35,6 +36,7 @@ KEYS = 4  # minhash keys that offer leaders
 LAP = 2  # tokens that prefixes must share
 SAMPLE, FREQUENT, MOST_FREQUENT = 32, 3, 1 << 21  # 1 of 32 documents; that often there; 16 MB of hashes at most
 BITS = 1024  # of a parity sketch
+LONG = BITS // 2  # sets from that size on have counts too
 PER_BLOCK = 256  # members or queries, on average
 NO_ID = -(2**63) + 1  # its negative is a number too
 
@@ -69,6 +71,13 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount((tokens >> np.uint64(20)) & np.uint64(BITS - 1), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
+def bucket_counts(tokens: np.ndarray) -> bytes:
+    """Tokens by bucket, 255 at most, of a set too large for a parity sketch: two sets differ in as many tokens at least as their counts, added up, do."""
+    if len(tokens) < LONG:
+        return b""
+    return np.minimum(np.bincount((tokens >> np.uint64(20)) & np.uint64(BITS - 1), minlength=BITS), 255).astype(np.uint8).tobytes()
+
+
 def prefix_length(n: int, percent: int, lap: int) -> int:
     """Tokens of which two sets that link share lap (or all that there are)."""
     return min(n, n - -(-percent * n // 100) + lap)
@@ -84,9 +93,9 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
             sets = sets_of(batch.column("text"), width)
             names = np.array([signature(s) for s in sets], np.uint64).view(np.int64)
             keys = [(W.mix(s[None, :] ^ seeds[:, None]).min(axis=1).view(np.int64).tolist() if len(s) else []) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names), pa.array(keys, pa.list_(pa.int64())), pa.array(map(parity, sets), pa.binary())], ["id", "n", "sig", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names), pa.array(keys, pa.list_(pa.int64())), pa.array(map(parity, sets), pa.binary()), pa.array(map(bucket_counts, sets), pa.binary())], ["id", "n", "sig", "keys", "bits", "counts"])
 
-    return docs.mapInArrow(run, "id long, n long, sig long, keys array<long>, bits binary")
+    return docs.mapInArrow(run, "id long, n long, sig long, keys array<long>, bits binary, counts binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -211,10 +220,15 @@ def qualifying(matrix: DataFrame, percent: int, parts: int) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (grp, node, comp, id, n, bits) packed into about PER_BLOCK a block: (grp, name)."""
+    """Rows (grp, node, comp, id, n, bits, counts) packed into about PER_BLOCK a block: (grp, name)."""
     blocks = rows.groupBy("grp").agg(F.ceil(F.count("*") / PER_BLOCK).alias("blocks"))
     dealt = rows.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    return dealt.groupBy("grp", "block").agg(F.collect_list(F.struct("node", "comp", "id", "n", "bits")).alias(name)).drop("block")
+    return dealt.groupBy("grp", "block").agg(F.collect_list(F.struct("node", "comp", "id", "n", "bits", "counts")).alias(name)).drop("block")
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Tokens at least that two sets with these counts don't share."""
+    return int(np.abs(np.frombuffer(a, np.uint8).astype(np.int16) - np.frombuffer(b, np.uint8)).sum())
 
 
 def opened_pairs(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -222,17 +236,19 @@ def opened_pairs(queries: DataFrame, members: DataFrame, percent: int) -> DataFr
     import pyarrow as pa
 
     def columns(rows):
-        return [np.array([r[c] for r in rows]) for c in ("node", "comp", "id", "n")] + [np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1)]
+        return [np.array([r[c] for r in rows]) for c in ("node", "comp", "id", "n")] + [np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1), [r["counts"] for r in rows]]
 
     def run(batches):
         for batch in batches:
             for q, m in zip(batch.column("queries"), batch.column("members")):
-                (q_node, q_comp, q_id, q_n, q_bits), (m_node, m_comp, m_id, m_n, m_bits) = columns(q.as_py()), columns(m.as_py())
+                (q_node, q_comp, q_id, q_n, q_bits, q_counts), (m_node, m_comp, m_id, m_n, m_bits, m_counts) = columns(q.as_py()), columns(m.as_py())
                 for k in range(len(q_node)):
                     # Apart in size at most as the threshold lets, and not linked yet; the sketches are read for those only.
                     ok = np.flatnonzero((m_comp != q_comp[k]) & (np.abs(m_n - q_n[k]) * (100 + percent) <= (m_n + q_n[k]) * (100 - percent)))
                     apart = np.bitwise_count(m_bits[ok] ^ q_bits[k]).sum(axis=1).astype(np.int64)
                     ok = ok[apart * (100 + percent) <= (m_n[ok] + q_n[k]) * (100 - percent)]
+                    if q_counts[k]:
+                        ok = ok[[not m_counts[x] or differing(m_counts[x], q_counts[k]) * (100 + percent) <= int(m_n[x] + q_n[k]) * (100 - percent) for x in ok]]
                     if len(ok):
                         swap = m_node[ok] < q_node[k]
                         mine, mine_id = np.full(len(ok), q_node[k]), np.full(len(ok), q_id[k])
@@ -248,7 +264,7 @@ def join_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: int
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), or_empty("text").alias("text"))
     all_docs = written(summaries(texts, width), "sets")
-    classes = written(all_docs.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
+    classes = written(all_docs.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("counts").alias("counts")), "classes")
 
     # The leader of a key is the class that shares keys with most others: copies of one text are nearer to it than to each other.
     keyed = classes.select("sig", "id", "n", F.posexplode("keys").alias("k", "key"))
@@ -264,12 +280,12 @@ def join_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: int
     links = written(verified(written(offered, "offered"), texts, width, percent), "verified")
     groups = written(components(links), "groups")
 
-    nodes = classes.select("sig", "id", "n", "bits").join(groups.withColumnRenamed("node", "sig"), "sig", "left").join(families, "sig", "left")
-    nodes = written(nodes.select("id", F.col("sig").alias("node"), F.coalesce("component", "sig").alias("comp"), F.coalesce("grp", "sig").alias("grp"), "n", "bits"), "nodes")
+    nodes = classes.select("sig", "id", "n", "bits", "counts").join(groups.withColumnRenamed("node", "sig"), "sig", "left").join(families, "sig", "left")
+    nodes = written(nodes.select("id", F.col("sig").alias("node"), F.coalesce("component", "sig").alias("comp"), F.coalesce("grp", "sig").alias("grp"), "n", "bits", "counts"), "nodes")
     matrix = prefixes(texts.join(nodes.select("id", "node", "comp", "grp"), "id"), width, percent, frequent_tokens(texts, width))
-    asked = qualifying(matrix, percent, parts).select("node", "grp").join(nodes.select("node", "comp", "id", "n", "bits"), "node")
-    asked = written(asked.select("grp", "node", "comp", "id", "n", "bits"), "asked")
-    of_asked = nodes.join(asked.select("grp").distinct(), "grp", "left_semi").select("grp", "node", "comp", "id", "n", "bits")
+    asked = qualifying(matrix, percent, parts).select("node", "grp").join(nodes.select("node", "comp", "id", "n", "bits", "counts"), "node")
+    asked = written(asked.select("grp", "node", "comp", "id", "n", "bits", "counts"), "asked")
+    of_asked = nodes.join(asked.select("grp").distinct(), "grp", "left_semi").select("grp", "node", "comp", "id", "n", "bits", "counts")
     more = verified(written(opened_pairs(asked, of_asked, percent), "opened"), texts, width, percent)
 
     linked = components(links.unionByName(more))
