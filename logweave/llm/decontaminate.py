@@ -12,8 +12,8 @@ The benchmark's seeds are sent to the tasks as sorted arrays, in blocks of at
 most BLOCK_WORDS words; a larger benchmark takes more passes, each over all
 documents, so nothing is left out.
 
-Defined results: null and empty texts are clean; items shorter than a mask's
-span are matched whole and exactly; repeated documents are each reported;
+Defined results: null and empty texts are clean; items of fewer than SHORT
+words are matched whole and exactly; repeated documents are each reported;
 repeated items are reported under each id; empty tables give an empty result;
 other columns are ignored.
 """
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import or_empty, read_table, small_batches
 
-# 1 for positions that count. Weight 8 of span 11 or 12; any two replaced words in a span are ignored by some mask nearby.
-MASKS = ("11101011011", "110100110111", "111011010101")
+# 1 for positions that count. Weight 7; in 12 words, whichever two are replaced, some mask laid at some place counts neither. So each window
+# of LEAST words and each item of 12 words that agrees to SHARE has a hit (tests/llm enumerates this).
+MASKS = ("11111011", "110101111", "11101100011", "110011111")
+SHORT = 12
 LEAST = 13
 SHARE = 0.8
 BLOCK_WORDS = 2_000_000  # of benchmark text sent at a time: about 70 MB of seeds and words
@@ -56,10 +58,9 @@ class Index:
         self.ids = ids
         hashes, at = W.hashed_words(pa.array(texts, pa.string()), W.NOT_ALNUM)
         self.words = [hashes[a:b] for a, b in zip(at[:-1], at[1:])]
-        span = max(map(len, MASKS))
         self.seeds = []
         for mask in MASKS:
-            h = [seeds(w, mask) if len(w) >= span else np.empty(0, np.uint64) for w in self.words]
+            h = [seeds(w, mask) if len(w) >= SHORT else np.empty(0, np.uint64) for w in self.words]
             item = np.repeat(np.arange(len(h)), [len(x) for x in h])
             place = np.concatenate([np.arange(len(x)) for x in h]) if h else np.empty(0, np.int64)
             flat = np.concatenate(h) if h else np.empty(0, np.uint64)
@@ -67,7 +68,7 @@ class Index:
             self.seeds.append((mask, flat[order], item[order], place[order].astype(np.int64)))
         self.short: dict[int, list[tuple[int, int]]] = {}
         for i, w in enumerate(self.words):
-            if 0 < len(w) < span:
+            if 0 < len(w) < SHORT:
                 self.short.setdefault(len(w), []).append((int(W.span_hashes(w, np.array([0]), np.array([len(w)]))[0]), i))
 
     def hits(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:

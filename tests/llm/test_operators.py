@@ -178,6 +178,30 @@ def test_decontamination(spark):
     assert d.contaminated(docs(spark, rows), bench.limit(0)).count() == 0 and d.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_masks_leave_no_passage_out():
+    from itertools import combinations
+
+    from logweave.llm import decontaminate as d
+
+    replaced = d.LEAST - int(np.ceil(d.SHARE * d.LEAST))
+    for n in (12, d.LEAST):
+        for gone in combinations(range(n), replaced):
+            assert any(not any(0 <= k - at < len(m) and m[k - at] == "1" for k in gone) for m in d.MASKS for at in range(n - len(m) + 1)), (n, gone)
+    rng = random.Random(5)
+    for n in range(12, 18):
+        words = np.array([rng.getrandbits(63) for _ in range(n)], np.uint64)
+        index = d.Index([], [])
+        index.words, least = [words], min(n, d.LEAST)
+        index.seeds = [(m, h[o], np.zeros(len(h), np.int64), o) for m in d.MASKS for h in [d.seeds(words, m)] for o in [np.argsort(h)]]
+        for k in range(4):
+            for gone in combinations(range(1, n - 1), k):
+                text = words.copy()
+                text[list(gone)] = [rng.getrandbits(63) for _ in gone]
+                same = text == words
+                if all(same[a : a + least].sum() >= d.SHARE * least for a in range(n - least + 1)):
+                    assert list(index.passages(text, np.array([0, n]))) == [(0, 0, 0, 0, n, n - k)], (n, gone)
+
+
 # op5
 
 
