@@ -30,7 +30,6 @@ MIN_REVISIT = 100
 FILE_BYTES = 64 << 20
 BLOCK = 1 << 20
 VERSION = b"WARC/1.1"
-HEAD_MAX = 64 << 10  # a header block without its end within so many bytes is damaged
 MEMBER = b"\x1f\x8b\x08"
 
 
@@ -71,6 +70,7 @@ class Source:
 
     def __init__(self, stream) -> None:
         self.stream, self.data, self.at, self.ended = stream, b"", 0, False
+        self.absent: set[bytes] = set()
 
     def need(self, n: int) -> bool:
         """Whether n bytes from here are there."""
@@ -80,6 +80,18 @@ class Source:
             self.data += got
         return len(self.data) >= n
 
+    def find(self, mark: bytes) -> int:
+        """Place of the next mark from here, -1 if none follows; reads on until it is found."""
+        start = 0
+        while mark not in self.absent:
+            place = self.data.find(mark, start)
+            if place >= 0:
+                return place
+            start = max(0, len(self.data) - len(mark) + 1)
+            if not self.need(max(2 * len(self.data), BLOCK)) and self.data.find(mark, start) < 0:
+                self.absent.add(mark)
+        return -1
+
     def skip(self, n: int) -> None:
         self.data, self.at = self.data[n:], self.at + n
 
@@ -88,7 +100,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
     """The record at the start of data with its length, or None if it fails a check."""
     if not data.startswith(b"WARC/1."):
         return None
-    end = data.find(b"\r\n\r\n", 0, HEAD_MAX)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         return None
     lines = data[:end].decode("utf-8", "replace").split("\r\n")
@@ -111,8 +123,7 @@ def plain_record(source: Source):
     source.need(12)
     if not source.data.startswith(b"WARC/1."):
         return None
-    source.need(HEAD_MAX)
-    end = source.data.find(b"\r\n\r\n", 0, HEAD_MAX)
+    end = source.find(b"\r\n\r\n")
     found = re.search(rb"(?im)^content-length:[ \t]*(\d{1,12})[ \t]*\r?$", source.data[: max(end, 0)])
     if end < 0 or not found or not source.need(end + 8 + int(found[1])):
         return None
@@ -225,8 +236,11 @@ def _manifest(rows):
     return pa.RecordBatch.from_pylist([dict(zip(("path", "records", "bytes"), r)) for r in rows])
 
 
-def read_archives(manifest: DataFrame, tasks: int) -> DataFrame:
-    """Records and gaps of the files, a row each, without payloads (their digests were checked)."""
+def read_archives(manifest: DataFrame, tasks: int, whole: bool = False) -> DataFrame:
+    """Records and gaps of the files, a row each, without payloads (their digests were checked).
+
+    With whole, a file with other than the manifest's number of records is an error.
+    """
     schema = "kind string, path string, offset long, length long, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
     def number(urn: str | None):
@@ -240,26 +254,29 @@ def read_archives(manifest: DataFrame, tasks: int) -> DataFrame:
         kinds = {"string": pa.string(), "long": pa.int64()}
         typed = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                rows = []
+            for path, want in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
+                rows, n = [], 0
                 with _open(path, "r") as stream:
                     for kind, offset, length, head, _ in salvage(stream):
                         rest = (number(head.get("warc-record-id")), head["warc-type"], int(head.get("x-payload-length", 0)), head.get("warc-payload-digest", "").removeprefix("sha256:"), number(head.get("warc-refers-to"))) if head else (None,) * 5
                         rows.append((kind, path, offset, length, *rest))
+                        n += kind == "record"
                         if len(rows) >= 5000:
                             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], typed)
                             rows = []
+                if whole and n != want:
+                    raise ValueError(f"{path}: {n} records read, {want} written")
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], typed)
 
-    return manifest.select("path").repartition(tasks).mapInArrow(read, schema)
+    return manifest.select("path", "records").repartition(tasks).mapInArrow(read, schema)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page's record, read the archives back, and return what was read."""
     pages = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
     manifest = write_archives(with_revisits(pages), scratch_path(spark, "warc"))
-    found = read_archives(manifest, max(1, manifest.count()))
+    found = read_archives(manifest, max(1, manifest.count()), whole=True)
     return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -379,6 +379,25 @@ def test_warc_pages(spark, tmp_path):
     assert warc.read_archives(empty, 1).count() == 0
 
 
+def test_warc_long_urls(spark, tmp_path):
+    import io
+
+    from logweave.llm import warc
+
+    long = "http://x/" + "é" * 900_000
+    record = warc.page_record(1, long, b"page", hashlib.sha256(b"page").hexdigest(), None, False)
+    for data in (warc.gzip_member(record), record, record + record):
+        assert {(x[0], x[3]["warc-target-uri"], x[4]) for x in warc.salvage(io.BytesIO(data))} == {("record", long, b"page")}
+    torn = b"WARC/1.1\r\n" + b"x" * 3_000_000
+    assert [x[:3] for x in warc.salvage(io.BytesIO(torn))] == [("gap", 0, len(torn))]
+    pages = spark.createDataFrame([(1, long, "<p>a"), (2, "u" * 66_000, None), (3, "u", "<p>b")], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r["page_id"] for r in warc.op9_warc(spark, str(tmp_path)).collect()) == [1, 2, 3]
+    manifest = warc.write_archives(warc.with_revisits(pages), f"file://{tmp_path}/w")
+    with pytest.raises(Exception, match="records read"):
+        warc.read_archives(manifest.withColumn("records", F.col("records") + 1), 1, whole=True).collect()
+
+
 # op10
 
 
