@@ -33,6 +33,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style template noscript iframe object svg canvas title head textarea audio video".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
+IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 
@@ -59,7 +60,11 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
 
     def text(raw: str) -> None:
         nonlocal now
-        if hidden or not raw:
+        if not raw:
+            return
+        if hidden and stack[-1][0] == "head" and not raw.isspace():
+            pop_to(len(stack) - 1)
+        if hidden:
             return
         if now is None:
             if raw.isspace():
@@ -101,6 +106,13 @@ def blocks(page: str) -> list[tuple[tuple, str, float]]:
                 if name not in INLINE:
                     now = None
             continue
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            pop_to(len(stack) - 1)
+        elif name == "body":
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "head":
+                    pop_to(k)
+                    break
         if name == "br":
             text(" ")
             continue

@@ -409,6 +409,17 @@ def test_blocks():
     assert blocks("") == [] and blocks("<<<>") and blocks("<p") is not None
 
 
+def test_open_heads():
+    from logweave.llm.html_text import blocks
+
+    head, body = "<html><head><meta charset=utf-8><title>t</title><style>p {}</style>\n<link rel=x>", "<article><p>one<p>two</article>"
+    want = [("one",), ("two",)]
+    for page in (head + "</head><body>" + body, head + "<body>" + body, head + body, "<head>" + body, head + "<noframes>n<body>" + body):
+        assert [b[1:2] for b in blocks(page)] == want, page
+    assert [b[1] for b in blocks(head + "some text<p>one")] == ["some text", "one"]
+    assert [b[0] for b in blocks(head + "<body>" + body)] == [b[0] for b in blocks(head + "</head><body>" + body)]
+
+
 def test_lstm_slopes():
     from logweave.llm import html_text as h
 
