@@ -75,6 +75,11 @@ sql("join_inner", "SELECT c.c_custkey, o.o_orderkey " + J % "")
 sql("join_left", "SELECT c.c_custkey, o.o_orderkey " + J % "LEFT")
 sql("join_right", "SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM {customer} WHERE c_custkey % 3 = 0) c RIGHT JOIN {orders} o ON c.c_custkey = o.o_custkey")
 sql("join_full", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM {customer} WHERE c_custkey % 2 = 0) c FULL JOIN {supplier} s ON c.c_custkey = s.s_suppkey")
+# The same over whole tables. The SQL of the four above is kept as it was given.
+sql("join_inner_whole", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c JOIN {orders} o ON c.c_custkey = o.o_custkey")
+sql("join_left_whole", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c LEFT JOIN {orders} o ON c.c_custkey = o.o_custkey + 1")
+sql("join_right_whole", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c RIGHT JOIN {orders} o ON c.c_custkey = o.o_custkey * 2")
+sql("join_full_whole", "SELECT c.c_custkey, s.s_suppkey FROM {customer} c FULL JOIN {supplier} s ON c.c_custkey = s.s_suppkey * 30")
 sql("join_semi", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
 sql("join_anti", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
 sql("join_not_in", "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45)")

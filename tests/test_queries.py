@@ -34,6 +34,17 @@ def test_query(spark, duck, name):
     assert plain(got) == plain(want)
 
 
+def test_joins_of_whole_tables(spark):
+    rows = {t: spark.read.parquet(f"{SF}/{t}.parquet").toPandas() for t in ("customer", "orders", "supplier")}
+    customers, orders, suppliers = set(rows["customer"].c_custkey), rows["orders"], set(rows["supplier"].s_suppkey)
+    found = {how: catalogue.QUERIES[f"join_{how}_whole"](spark, SF).toPandas() for how in ("inner", "left", "right", "full")}
+    assert set(found["inner"].o_orderkey) == set(orders.o_orderkey[orders.o_custkey.isin(customers)])
+    assert set(found["left"].c_custkey) == customers and found["left"].o_orderkey.isna().any()
+    assert set(found["right"].o_orderkey) == set(orders.o_orderkey) and found["right"].c_custkey.isna().any()
+    assert set(found["full"].c_custkey.dropna()) == customers and set(found["full"].s_suppkey.dropna()) == suppliers
+    assert found["full"].c_custkey.isna().any() and found["full"].s_suppkey.isna().any()
+
+
 def test_entry(spark):
     import __spark_entry__
 
