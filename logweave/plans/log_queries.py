@@ -310,6 +310,14 @@ def shard_placement(spark, sf_dir):
     return shards.join(places, "shardid").where("logicalrelid < 5").groupBy("logicalrelid", "node_id").agg(F.count("*").alias("n"))
 
 
+@query("""WITH s AS (SELECT o_orderkey AS shardid, o_custkey % 40 AS logicalrelid FROM orders), p AS (SELECT l_orderkey AS shardid, l_suppkey AS node_id FROM lineitem)
+SELECT logicalrelid, node_id, count(*) AS n FROM s JOIN p USING (shardid) GROUP BY ALL""")
+def shard_placement_whole(spark, sf_dir):
+    shards = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("shardid"), (F.col("o_custkey") % 40).alias("logicalrelid"))
+    places = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("shardid"), F.col("l_suppkey").alias("node_id"))
+    return shards.join(places, "shardid").groupBy("logicalrelid", "node_id").agg(F.count("*").alias("n"))
+
+
 @query(""", bounds AS (SELECT i AS shardid, i * 10000 AS lo, i * 10000 + 9999 AS hi FROM generate_series(0, 40) g(i))
 SELECT shardid, count(*) AS n FROM asked JOIN bounds ON (partition_id * 7) % 400000 BETWEEN lo AND hi GROUP BY ALL""")
 def shard_by_range(spark, sf_dir):

@@ -100,6 +100,14 @@ def join_range(spark, sf_dir):
     return joins.range_join(points, "v", ranges, "lo", "hi", 10).select("event_id", "p_partkey")
 
 
+@frame("SELECT e.event_id, p.p_partkey FROM events e JOIN part p ON e.value * 10 BETWEEN p.p_size * 10 AND p.p_size * 10 + 3")
+def join_range_whole(spark, sf_dir):
+    """Of all events; the SQL of join_range is kept as it was given."""
+    points = table(spark, sf_dir, "events").select("event_id", (F.col("value") * 10).alias("v"))
+    ranges = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 10).alias("lo"), (F.col("p_size") * 10 + 3).alias("hi"))
+    return joins.range_join(points, "v", ranges, "lo", "hi", 10).select("event_id", "p_partkey")
+
+
 @frame("""SELECT e.event_id, c.event_id AS click_id FROM events e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click') c
  ON e.user_id = c.user_id AND e.ts >= c.ts""")
 def join_asof(spark, sf_dir):
@@ -270,11 +278,16 @@ MERGED = """SELECT coalesce(s_suppkey, k) AS s_suppkey, CASE WHEN k IS NULL THEN
  FROM supplier FULL JOIN (SELECT c_custkey * 3 AS k, c_acctbal AS bal FROM customer WHERE c_custkey < 60) ON s_suppkey = k WHERE NOT (s_suppkey IS NULL AND bal < 0)"""
 
 
-def merged(spark, sf_dir):
+MERGED_WHOLE = """SELECT coalesce(s_suppkey, k) AS s_suppkey, CASE WHEN k IS NULL THEN s_acctbal ELSE bal END AS s_acctbal,
+ CASE WHEN k IS NULL THEN 'keep' WHEN s_suppkey IS NULL THEN 'insert' WHEN bal < 0 THEN 'delete' ELSE 'update' END AS action
+ FROM supplier FULL JOIN (SELECT c_custkey * 3 AS k, c_acctbal AS bal FROM customer) ON s_suppkey = k WHERE NOT (s_suppkey IS NULL AND bal < 0)"""
+
+
+def merged(spark, sf_dir, which="true"):
     from ..operators import modify
 
     target = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
-    source = table(spark, sf_dir, "customer").where("c_custkey < 60").select((F.col("c_custkey") * 3).alias("s_suppkey"), F.col("c_acctbal").alias("s_acctbal"))
+    source = table(spark, sf_dir, "customer").where(which).select((F.col("c_custkey") * 3).alias("s_suppkey"), F.col("c_acctbal").alias("s_acctbal"))
     return modify.merge(target, source, ["s_suppkey"], F.col("s_acctbal") < 0)
 
 
@@ -282,13 +295,27 @@ def merged(spark, sf_dir):
 def modify_merge(spark, sf_dir):
     from ..operators import modify
 
-    return modify.result(merged(spark, sf_dir))
+    return modify.result(merged(spark, sf_dir, "c_custkey < 60"))
 
 
 @frame(f"SELECT * FROM ({MERGED}) WHERE action <> 'keep'")
 def modify_returning(spark, sf_dir):
     from ..operators import modify
 
+    return modify.returning(merged(spark, sf_dir, "c_custkey < 60"))
+
+
+@frame(f"SELECT s_suppkey, s_acctbal FROM ({MERGED_WHOLE}) WHERE action <> 'delete'")
+def modify_merge_whole(spark, sf_dir):
+    from ..operators import modify
+
+    return modify.result(merged(spark, sf_dir))
+
+
+@frame(f"SELECT * FROM ({MERGED_WHOLE}) WHERE action <> 'keep'")
+def modify_returning_whole(spark, sf_dir):
+    from ..operators import modify
+
     return modify.returning(merged(spark, sf_dir))
 
 
@@ -308,6 +335,14 @@ def modify_on_conflict(spark, sf_dir):
     return modify.insert_or_nothing(target, table(spark, sf_dir, "customer").where("c_custkey < 100").select((F.col("c_custkey") * 2).alias("k")), ["k"])
 
 
+@frame("SELECT s_suppkey AS k FROM supplier UNION SELECT c_custkey * 2 FROM customer")
+def modify_on_conflict_whole(spark, sf_dir):
+    from ..operators import modify
+
+    target = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    return modify.insert_or_nothing(target, table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("k")), ["k"])
+
+
 @frame("""SELECT p_partkey, '10.' || p_size || '.' || p_partkey % 256 || '.7' AS host, 20 AS bits, '255.255.240.0' AS mask,
  '10.' || p_size || '.' || (p_partkey % 256) // 16 * 16 || '.0/20' AS net, '10.' || p_size || '.' || ((p_partkey % 256) // 16 * 16 + 15) || '.255/20' AS last FROM part""")
 def fn_network(spark, sf_dir):

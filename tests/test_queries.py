@@ -45,6 +45,19 @@ def test_joins_of_whole_tables(spark):
     assert found["full"].c_custkey.isna().any() and found["full"].s_suppkey.isna().any()
 
 
+def test_queries_of_all_rows(spark):
+    rows = {t: spark.read.parquet(f"{SF}/{t}.parquet").toPandas() for t in ("events", "part", "customer", "supplier", "orders", "lineitem")}
+    got = {n: catalogue.QUERIES[f"{n}_whole"](spark, SF).toPandas() for n in ("join_range", "shard_placement", "modify_merge", "modify_returning", "modify_on_conflict")}
+    pairs = [(e, p) for e, v in zip(rows["events"].event_id, rows["events"].value) for p, z in zip(rows["part"].p_partkey, rows["part"].p_size) if z * 10 <= v * 10 <= z * 10 + 3]
+    assert sorted(got["join_range"][["event_id", "p_partkey"]].itertuples(index=False, name=None)) == sorted(pairs) and max(pairs)[0] >= 500
+    assert set(got["shard_placement"].logicalrelid) == set(rows["orders"].o_custkey % 40) and got["shard_placement"].n.sum() == rows["lineitem"].l_orderkey.isin(rows["orders"].o_orderkey).sum()
+    old, new = dict(zip(rows["supplier"].s_suppkey, rows["supplier"].s_acctbal)), dict(zip(rows["customer"].c_custkey * 3, rows["customer"].c_acctbal))
+    want = {k: new.get(k, old.get(k)) for k in old.keys() | new.keys() if not new.get(k, 0) < 0}
+    assert dict(zip(got["modify_merge"].s_suppkey, got["modify_merge"].s_acctbal)) == want and len(got["modify_merge"]) == len(want)
+    assert set(got["modify_returning"].s_suppkey) == {k for k, v in new.items() if k in old or not v < 0}
+    assert sorted(got["modify_on_conflict"].k) == sorted(set(old) | set(rows["customer"].c_custkey * 2))
+
+
 def test_entry(spark):
     import __spark_entry__
 
