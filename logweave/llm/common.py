@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+_LIVE: list[str] = []  # folders of scratch_path that have not been dropped
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20  # of an Arrow batch, unless one row has more
 
 
@@ -22,16 +24,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str])
 def small_batches(spark: SparkSession) -> None:
     """Hand Python at most BATCH_BYTES, or one row, at once: the rows of long texts can be many.
 
-    The setting stays in the session, as results are computed after the call.
+    Spark reads the setting when a result is computed, so it stays in the session
+    after operators whose rows are computed after the call; ``finished`` puts it back.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset and the master is local."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="logweave-")
@@ -46,7 +51,9 @@ def _drop_dir(path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{scratch_root(spark)}/logweave/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/logweave/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    _LIVE.append(path)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -60,15 +67,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a DataFrame that ``written`` returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = f"{scratch_root(spark)}/logweave/"
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/logweave/" in folder and root.split("://")[-1].lstrip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``scratch_path``."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def finished(spark: SparkSession, what: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of build(), written; all that build() wrote on the way is deleted and the batch size is as before."""
+    mark, before = len(_LIVE), spark.conf.get(BATCH_SETTING)
+    out = written(build(), what)
+    spark.conf.set(BATCH_SETTING, before)
+    for path in _LIVE[mark:-1]:
+        drop_path(spark, path)
+    del _LIVE[mark:-1]
+    return out
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -90,5 +103,11 @@ def ascii_lower(text: Column) -> Column:
     return F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı")))
 
 
-def log_bits(n: int) -> int:
-    return max(1, math.ceil(math.log2(max(2, n))))
+def text_key(text: str | Column = "text") -> Column:
+    """A number that tells apart rows with one doc_id and unlike texts; computed in the JVM."""
+    return F.xxhash64(or_empty(text), F.octet_length(or_empty(text)))
+
+
+def one_text(docs: DataFrame) -> DataFrame:
+    """Rows (id, key, text) with equal ids and keys made one; the first step runs before the shuffle, so copies of a row are not sent on."""
+    return docs.groupBy("id", "key").agg(F.first("text").alias("text"))

@@ -6,190 +6,343 @@ place, by (doc_id, word).
 
 (1) Suffixes are retained only at minimisers: in each window of SPAN words, the
     place whose BLOCK words have the smallest hash.  The choice depends on the
-    window's content alone, so equal windows retain the same suffix.
-(2) The retained suffixes of all documents are sorted by their first blocks'
-    hashes, as a range-partitioned sort, and neighbours are compared; a suffix
-    with a neighbour of the same first block stays.  At a partition's ends,
-    where a neighbour is out of sight, a suffix stays as well.
-(3) Around each suffix that stays, the match is extended to the left and to the
-    right: the windows that hold it are tested exactly against all others', and
-    each repeat is matched with the first place of its words.
-
-Documents with equal words form one class that is handled once: its first
-document stays, the others repeat it from end to end.
+    window's content alone, so equal windows retain the same suffix.  A suffix
+    whose first BLOCK words stand nowhere else can match nothing and goes.
+(2) The suffixes that stay carry their words, to the right as far as a window
+    may reach from there and to the left as far as a window may begin.  They
+    are sorted by their words in range partitions, and the number of words that
+    neighbours share is read off; suffixes that share BLOCK words form a run.
+(3) Matches are extended to the left and to the right by words: along a run, a
+    window that begins o words to the left of its suffix equals those whose
+    suffixes share SPAN - o words to the right (an interval of the sorted run)
+    and o words to the left (an interval of the run sorted by its left sides).
+    Each repeat is matched with the first place of its words.  Of runs that
+    reach the end of what a task sees, the windows meet in a grouped minimum
+    over the 128-bit names of their words instead.
+
+Documents with equal words form one class (named by 128 bits and its length)
+that is handled once: its first document stays, the others repeat it from end
+to end.  A word of more than LONG_WORD bytes is compared by a 128-bit name and
+its length, so that a suffix's row is bounded; all other words are compared as
+they are.
 
 Defined results: null, empty and shorter texts repeat nothing; rows with an
-equal doc_id and equal words count as one document; a null doc_id ranks before
-all others; an empty table gives an empty result; other columns are kept by
-``without_repeats`` and ignored elsewhere.
+equal doc_id and equal words count as one document, rows with an equal doc_id
+and other words as documents of their own; a null doc_id ranks before all
+others; a text of one word throughout keeps a suffix at each word; an empty
+table gives an empty result; other columns are kept by ``without_repeats`` and
+ignored elsewhere.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import or_empty, read_table, small_batches, written
+from .common import finished, one_text, or_empty, read_table, shuffle_parts, small_batches, text_key, written
 
-SPAN, BLOCK = 50, 25
+SPAN, BLOCK = 50, 12
 CHOICE = SPAN - BLOCK + 1  # block places in a window of SPAN words
+LONG_WORD = 64
+CHUNK, MOST_CHUNK = 8192, 65536  # suffixes that a task compares at once, and until when it waits for a run's end
 NO_ID = -(2**63)
+SALT = np.uint64(0xA0761D6478BD642F)
 
 
-def exact_words(column) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes as the words stand, and each text's first word."""
+def exact_words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the texts, start, end and hash of each word as it stands, and each text's first word."""
     data, offsets = W.text_bytes(column)
     starts, ends, at = W.word_spans(data, offsets, W.SPACES)
-    return W.span_hashes(W._OF_BYTE[data], starts, ends), at
+    return data, starts, ends, W.span_hashes(W._OF_BYTE[data], starts, ends), at
+
+
+def names(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of the words of each text."""
+    one = W.span_hashes(words, first[:-1], first[1:])
+    two = W.span_hashes(W.mix(words ^ SALT), first[:-1], first[1:])
+    return one.view(np.int64), two.view(np.int64)
 
 
-def windows_and_minimisers(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of each window of SPAN words that lies in one text, the place of its minimiser, and all block hashes."""
+def minimisers(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the minimisers of all windows of SPAN words that lie in one text, the first and last window of each, and all block hashes."""
+    none = np.empty(0, np.int64)
     if len(words) < SPAN:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return none, none, none, np.empty(0, np.uint64)
     blocks = W.window_hashes(words, BLOCK)
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     start = np.flatnonzero(of[: len(words) - SPAN + 1] == of[SPAN - 1 :])
-    best = np.lib.stride_tricks.sliding_window_view(blocks, CHOICE).argmin(axis=1)
-    return start, start + best[start], blocks
+    place = start + np.lib.stride_tricks.sliding_window_view(blocks, CHOICE).argmin(axis=1)[start]
+    # The windows of one minimiser stand side by side.
+    head = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else none
+    tail = np.r_[head[1:], len(place)] - 1 if len(place) else none
+    return place[head], start[head], start[tail], blocks
 
 
 def retained(docs: DataFrame) -> DataFrame:
-    """Document rows (id, sig, n_words) and suffix rows (id null; sig, at, block, then) in one table."""
+    """Document rows (id, key, s1, s2, n_words) and suffix rows (id null; s1, s2, at, block) in one table."""
     import pyarrow as pa
 
-    names = ["id", "sig", "n_words", "at", "block", "then"]
+    columns = ["id", "key", "s1", "s2", "n_words", "at", "block"]
 
     def run(batches):
         for batch in W.batches_of(batches):
-            words, first = exact_words(batch.column("text"))
-            sizes = np.diff(first)
-            sig = W.span_hashes(words, first[:-1], first[1:]).view(np.int64)
+            _, _, _, words, first = exact_words(batch.column("text"))
+            s1, s2 = names(words, first)
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sig), pa.array(sizes), none, none, none], names)
-            _, minimiser, blocks = windows_and_minimisers(words, first)
-            if not len(minimiser):
-                continue
-            places = np.unique(minimiser)
-            text = np.searchsorted(first, places, "right") - 1
-            end = np.minimum(places + 2 * BLOCK, first[text + 1])
-            then = W.span_hashes(words, places + BLOCK, end).view(np.int64)
-            none = pa.nulls(len(places), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(sig[text]), none, pa.array(places - first[text]), pa.array(blocks[places].view(np.int64)), pa.array(then)], names)
-
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
-
-def with_neighbours(suffixes: DataFrame, parts: int) -> DataFrame:
-    """(sig, at) of the suffixes that share their first block with a neighbour of another place."""
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(s1), pa.array(s2), pa.array(np.diff(first)), none, none], columns)
+            place, _, _, blocks = minimisers(words, first)
+            if len(place):
+                text = np.searchsorted(first, place, "right") - 1
+                none = pa.nulls(len(place), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(s1[text]), pa.array(s2[text]), none, pa.array(place - first[text]), pa.array(blocks[place].view(np.int64))], columns)
+
+    return docs.select("id", "key", "text").mapInArrow(run, ", ".join(f"{n} long" for n in columns))
+
+
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Each word with a space behind it, so that a text's first words are its first bytes."""
+    whole = data.tobytes()
+    out = []
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        word = whole[a:b]
+        if b - a > LONG_WORD:
+            word = b"\x00%d:" % (b - a) + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
+        out.append(word + b" ")
+    return out
+
+
+def suffixes_with_words(texts: DataFrame) -> DataFrame:
+    """(right, left, low, high, id, key, at) of the retained suffixes at the places asked for (id, key, places, text).
+
+    right holds the words from the place on and left those before it, the
+    nearest first; low and high are the numbers of words to the left at which
+    the suffix's last and first window begin.
+    """
     import pyarrow as pa
 
-    order = ["block", "then", "sig", "at"]
-
-    def run(batches):
-        held, is_start = None, True
-        for batch in batches:
-            now = [batch.column(c).to_numpy() for c in order]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            # Copies of a document bring the same row again; one stays.
-            new = np.ones(len(now[0]), bool)
-            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in now])
-            now = [c[new] for c in now]
-            block = now[0]
-            alike = np.zeros(len(block), bool)
-            same = block[1:] == block[:-1]
-            alike[1:] |= same
-            alike[:-1] |= same
-            if is_start and len(block):
-                alike[0] = True
-            # The last two rows wait for what follows.
-            keep = max(0, len(block) - 2)
-            if keep:
-                give = alike[:keep]
-                yield pa.RecordBatch.from_arrays([pa.array(now[2][:keep][give]), pa.array(now[3][:keep][give])], ["sig", "at"])
-                is_start = False
-                if keep and len(block) > keep:
-                    first_waits = bool(alike[keep])
-            held = [c[keep:] for c in now]
-            if keep:
-                is_start = first_waits
-        if held is not None and len(held[0]):
-            block = held[0]
-            alike = np.ones(len(block), bool)
-            if len(block) == 2 and not is_start:
-                alike[0] = block[0] == block[1]
-            yield pa.RecordBatch.from_arrays([pa.array(held[2][alike]), pa.array(held[3][alike])], ["sig", "at"])
-
-    return suffixes.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "sig long, at long")
-
-
-def candidate_windows(texts: DataFrame) -> DataFrame:
-    """(hash, id, at) of the windows whose minimiser is among the places (id, sig, places, text)."""
-    import pyarrow as pa
+    schema = pa.schema([("right", pa.binary()), ("left", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int64())])
 
     def run(batches):
         for batch in W.batches_of(batches):
-            words, first = exact_words(batch.column("text"))
-            start, minimiser, _ = windows_and_minimisers(words, first)
-            if not len(start):
-                continue
+            data, starts, ends, words, first = exact_words(batch.column("text"))
+            place, begin, last, _ = minimisers(words, first)
             column = batch.column("places")
             sizes = np.diff(column.offsets.to_numpy())
             asked = column.flatten().to_numpy() + np.repeat(first[:-1], sizes)
-            # A doc_id that stands on rows with different words brings rows of another class; they are passed over.
-            sig = W.span_hashes(words, first[:-1], first[1:]).view(np.int64)
-            right = sig == batch.column("sig").to_numpy()
-            asked = asked[np.repeat(right, sizes)]
-            start = start[np.isin(minimiser, asked)]
-            text = np.searchsorted(first, start, "right") - 1
-            start, text = start[right[text]], text[right[text]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(W.span_hashes(words, start, start + SPAN).view(np.int64)), batch.column("id").take(pa.array(text)), pa.array((start - first[text]).astype(np.int32))],
-                ["hash", "id", "at"],
-            )
-
-    return texts.mapInArrow(run, "hash long, id long, at int")
-
-
-def repeats(docs: DataFrame, parts: int) -> DataFrame:
-    """(id, first_id, start, first_start, n_words): runs of words that also stand at an earlier place."""
+            want = np.flatnonzero(np.isin(place, asked))
+            if not len(want):
+                continue
+            word = spelled(data, starts, ends)
+            text = np.searchsorted(first, place[want], "right") - 1
+            for k in range(0, len(want), 4096):
+                part, of = want[k : k + 4096], text[k : k + 4096]
+                p, a, z = place[part], begin[part], last[part]
+                right = [b"".join(word[x : y + SPAN]) for x, y in zip(p.tolist(), z.tolist())]
+                left = [b"".join(word[x:y][::-1]) for x, y in zip(a.tolist(), p.tolist())]
+                rows = [pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array((p - z).astype(np.int32)), pa.array((p - a).astype(np.int32))]
+                of_text = [batch.column(c).take(pa.array(of)) for c in ("id", "key")]
+                yield pa.RecordBatch.from_arrays([*rows, *of_text, pa.array(p - first[of])], schema=schema)
+
+    return texts.mapInArrow(run, "right binary, left binary, low int, high int, id long, key long, at long")
+
+
+def shared_words(sides: list[bytes]) -> np.ndarray:
+    """Words that each of the sorted sides shares with the one before it, from the first on (0 for the first)."""
+    out = np.zeros(len(sides), np.int64)
+    for k in range(0, len(sides), 2048):
+        part = sides[max(0, k - 1) : k + 2048]
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        wide = int(sizes.max(initial=0)) + 1
+        flat = np.frombuffer(b"".join(s.ljust(wide, b"\xff") for s in part), np.uint8).reshape(len(part), wide)
+        if len(part) < 2:
+            continue
+        differs = flat[1:] != flat[:-1]
+        differs[:, -1] = True
+        upto = np.minimum(differs.argmax(axis=1), np.minimum(sizes[1:], sizes[:-1]))
+        spaces = np.cumsum(flat[1:] == 32, axis=1, dtype=np.int32)
+        n = np.where(upto > 0, spaces[np.arange(len(upto)), np.maximum(upto, 1) - 1], 0)
+        out[max(k, 1) : max(k, 1) + len(n)] = n
+    return out
+
+
+def matches(right: list[bytes], left: list[bytes], low: np.ndarray, high: np.ndarray, rank: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """For each suffix of sorted whole runs and each o < CHOICE: the suffix with the first equal window o words to the left of it, or -1.
+
+    near holds the words shared with the suffix before, rank the order of the suffixes' documents and places.
+    """
+    n = len(right)
+    order = sorted(range(n), key=left.__getitem__)
+    close = shared_words([left[k] for k in order])
+    found = np.full((n, CHOICE), -1, np.int64)
+    for o in range(CHOICE):
+        live = np.flatnonzero((low <= o) & (o <= high))
+        if len(live) < 2:
+            continue
+        side = np.empty(n, np.int64)
+        side[order] = np.cumsum(close < o) if o else 0
+        both = np.cumsum(near < SPAN - o) * (n + 1) + side
+        by = live[np.lexsort((rank[live], both[live]))]
+        new = np.r_[True, both[by[1:]] != both[by[:-1]]]
+        found[by, o] = np.where(new, -1, by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))])
+    return found
+
+
+def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MOST_CHUNK) -> DataFrame:
+    """Matches of windows and, of runs that a task doesn't see whole, windows by name.
+
+    Rows (id, key, start, n, first_id, first_key, first_start, w1, w2): n windows
+    from start on equal those from first_start on; or, with w1 and w2, the
+    window at start has that name and first_id is null.
+    """
+    import pyarrow as pa
+
+    numbers = ["id", "key", "start", "n", "first_id", "first_key", "first_start", "w1", "w2"]
+    schema = pa.schema([(c, pa.int64()) for c in numbers])
+    columns = ["right", "left", "low", "high", "id", "key", "at"]
+
+    def closed(right, left, low, high, ids, keys, at, near):
+        # Distinct places: copies of a row would match themselves.
+        rank = np.empty(len(at), np.int64)
+        rank[np.lexsort((at, keys, ids))] = np.arange(len(at))
+        first = matches(right, left, low, high, rank, near)
+        # One row for windows side by side that equal windows of one suffix.
+        padded = np.full((len(at), CHOICE + 1), -1, np.int64)
+        padded[:, :CHOICE] = first
+        begin = (padded >= 0) & (padded != np.c_[np.full(len(at), -1), padded[:, :-1]])
+        row, o = np.nonzero(begin)
+        if not len(row):
+            return
+        flat = padded.ravel()
+        change = np.flatnonzero(np.r_[flat[1:] != flat[:-1], True])
+        stop = change[np.searchsorted(change, row * (CHOICE + 1) + o)] - row * (CHOICE + 1)  # the last o of the same match
+        to = padded[row, o]
+        rows = [ids[row], keys[row], at[row] - stop, stop - o + 1, ids[to], keys[to], at[to] - stop]
+        none = pa.nulls(len(row), pa.int64())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, rows), none, none], schema=schema)
+
+    def open_ended(right, left, low, high, ids, keys, at):
+        rows = []
+        for k, (r, l) in enumerate(zip(right, left)):
+            ahead, behind = r.split(b" ")[:-1], l.split(b" ")[:-1]
+            for o in range(int(low[k]), int(high[k]) + 1):
+                name = hashlib.blake2b(b" ".join([*behind[:o][::-1], *ahead[: SPAN - o]]), digest_size=16).digest()
+                rows.append((k, o, int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)))
+            if len(rows) > 20_000 or k == len(right) - 1:
+                at_row, o, one, two = (np.array(x, np.int64) for x in zip(*rows))
+                none = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[at_row], keys[at_row], at[at_row] - o, np.ones(len(rows), np.int64))), none, none, none, pa.array(one), pa.array(two)], schema=schema)
+                rows = []
+
+    def chunk(rows, from_start, at_end):
+        """Judge sorted rows: first and last runs are open where rows may lie before or after them."""
+        right, left, low, high, ids, keys, at = rows
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        if not new.all():
+            keep = np.flatnonzero(new)
+            right, left = [right[k] for k in keep], [left[k] for k in keep]
+            low, high, ids, keys, at = (x[keep] for x in (low, high, ids, keys, at))
+        near = shared_words(right)
+        heads = np.flatnonzero(np.r_[True, near[1:] < BLOCK])
+        a, b = 0, len(at)
+        if from_start:
+            a = int(heads[1]) if len(heads) > 1 else b
+        if at_end and b > a:
+            b = max(a, int(heads[-1]))
+        cut = lambda x, y: (right[x:y], left[x:y], low[x:y], high[x:y], ids[x:y], keys[x:y], at[x:y])
+        for x, y in {(0, a), (b, len(at))}:
+            if y > x:
+                yield from open_ended(*cut(x, y))
+        if b - a > 1:
+            yield from closed(*cut(a, b), np.r_[0, near[a + 1 : b]])
+
+    def run(batches):
+        held, from_start = None, True  # another task may hold the first run's beginning
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(c).to_pylist() if c in ("right", "left") else batch.column(c).to_numpy().astype(np.int64) for c in columns]
+            held = now if held is None else [x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(held, now)]
+            while len(held[6]) >= least:
+                near = shared_words(held[0])
+                heads = np.flatnonzero(near < BLOCK)
+                at = int(heads[-1])  # all before the last run are whole
+                if at == 0:
+                    if len(held[6]) < most:
+                        break
+                    yield from chunk(held, True, True)
+                    held, from_start = [x[len(held[6]) :] for x in held], True
+                else:
+                    yield from chunk([x[:at] for x in held], from_start, False)
+                    held, from_start = [x[at:] for x in held], False
+                    break
+        if held is not None and len(held[6]):
+            yield from chunk(held, from_start, True)
+
+    sorted_rows = suffixes.select(*columns).repartitionByRange(parts, "right", "id", "key", "at").sortWithinPartitions("right", "id", "key", "at")
+    return sorted_rows.mapInArrow(run, ", ".join(f"{c} long" for c in numbers))
+
+
+def repeats(docs: DataFrame, parts: int, **chunks: int) -> DataFrame:
+    """(id, key, first_id, start, first_start, n_words): runs of words that also stand at an earlier place; key as in ``text_key``."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), or_empty("text").alias("text"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_key().alias("key"), or_empty("text").alias("text"))
     table = written(retained(texts), "suffixes")
-    whole = table.where("id is not null").select("id", "sig", "n_words").where(F.col("n_words") >= SPAN)
-    classes = written(whole.groupBy("sig").agg(F.min("id").alias("first_id"), F.first("n_words").alias("n_words")), "text-classes")
-    copies = whole.join(classes.select("sig", "first_id"), "sig").where("id <> first_id").distinct()
-    copies = copies.select("id", "first_id", F.lit(0).alias("start"), F.lit(0).alias("first_start"), F.col("n_words").cast("int").alias("n_words"))
-
-    near = with_neighbours(table.where("id is null"), parts).distinct()
-    places = near.groupBy("sig").agg(F.collect_list("at").alias("places"))
-    asked = places.join(classes.select("sig", F.col("first_id").alias("id")), "sig")
-    found = written(candidate_windows(texts.join(asked, "id").select("id", "sig", "places", "text")).distinct(), "windows")
-
-    place = F.struct("id", "at")
-    earliest = found.groupBy("hash").agg(F.min(place).alias("e"), F.count("*").alias("n")).where("n > 1").select("hash", F.col("e.id").alias("first_id"), F.col("e.at").alias("first_at"))
+    name = ["s1", "s2", "n_words"]
+    whole = table.where("id is not null").where(F.col("n_words") >= SPAN).select("id", "key", *name)
+    classes = written(whole.groupBy(*name).agg(F.min(F.struct("id", "key")).alias("f")).select(*name, F.col("f.id").alias("first_id"), F.col("f.key").alias("first_key")), "text-classes")
+    copies = whole.join(classes.select(*name, "first_id"), name).where("id <> first_id").distinct()
+    copies = copies.select("id", "key", "first_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("first_start"), "n_words")
+
+    ends = table.where("id is null").select("s1", "s2", "at", "block")
+    # A block is kept if it begins suffixes at two places; copies of a document bring one place again.
+    place = F.xxhash64("s1", "s2", "at")
+    again = ends.groupBy("block").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("block")
+    near = ends.join(written(again, "blocks"), "block", "left_semi")
+    places = near.groupBy("s1", "s2").agg(F.collect_set("at").alias("places"))
+    asked = places.join(classes.select("s1", "s2", F.col("first_id").alias("id"), F.col("first_key").alias("key")), ["s1", "s2"]).select("id", "key", "places")
+    suffixes = written(suffixes_with_words(one_text(texts).join(asked, ["id", "key"]).select("id", "key", "places", "text")), "suffix-words")
+
+    found = written(compared(suffixes, parts, **chunks), "matches")
+    closed = found.where("first_id is not null").select("id", "key", "first_id", "start", "first_start", "n")
+    windows = found.where("first_id is null").select("id", "key", "start", "w1", "w2").distinct()
+    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "key", "start")).alias("e"), F.count("*").alias("n")).where("n > 1")
     # Written first: joined to an aggregate in the same stage, a passage that very many documents share could not be split.
-    hits = found.join(written(earliest, "earliest"), "hash").where("id <> first_id or at <> first_at")
-    shift = hits.withColumn("shift", F.col("at") - F.col("first_at"))
-    line = Window.partitionBy("id", "first_id", "shift").orderBy("at")
-    runs = shift.withColumn("run", F.col("at") - F.row_number().over(line))
-    spans = runs.groupBy("id", "first_id", "shift", "run").agg(F.min("at").alias("start"), F.min("first_at").alias("first_start"), (F.max("at") - F.min("at") + SPAN).alias("n_words"))
+    earliest = written(earliest.select("w1", "w2", F.col("e.id").alias("first_id"), F.col("e.key").alias("first_key"), F.col("e.start").alias("first_start")), "earliest")
+    opened = windows.join(earliest, ["w1", "w2"]).where("id <> first_id or key <> first_key or start <> first_start")
+    runs = closed.unionByName(opened.select("id", "key", "first_id", "start", "first_start", F.lit(1).cast("long").alias("n")))
+
+    # Runs of windows that follow each other and equal windows that follow each other are one passage.
+    line = Window.partitionBy("id", "key", "first_id", "shift").orderBy("start")
+    runs = runs.withColumn("shift", F.col("start") - F.col("first_start"))
+    broken = F.col("start") > F.max(F.col("start") + F.col("n")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("run", F.sum(F.coalesce(broken, F.lit(True)).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("id", "key", "first_id", "shift", "run").agg(F.min("start").alias("start"), F.min("first_start").alias("first_start"), (F.max(F.col("start") + F.col("n")) - F.min("start") + SPAN - 1).alias("n_words"))
     return spans.select(*copies.columns).unionByName(copies)
 
 
 def without_repeats(docs: DataFrame, parts: int) -> DataFrame:
     """The documents, all their columns, with repeats cut out of text; those of which nothing is left go.
 
-    A column n_chars, where there is one, follows the text.
+    A row is cut by the passages of its own doc_id and text.  A column n_chars,
+    where there is one, follows the text.
     """
-    kind = docs.schema
-    spans = repeats(docs.select("doc_id", "text"), parts).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words")).alias("stop")))).alias("spans"))
-    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    spark, kind = docs.sparkSession, docs.schema
+
+    def found():
+        span = F.struct("start", (F.col("start") + F.col("n_words")).alias("stop"))
+        spans = repeats(docs.select("doc_id", "text"), parts).groupBy("id", "key").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+        return spans.select("id", "key", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
+
+    spans = finished(spark, "spans", found)
+    small_batches(spark)
+    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_key().alias("key"))
     # One pass over all rows: their texts are shuffled once, and lie in row alone.
-    joined = packed.join(written(spans.select("id", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")), "spans"), "id", "left")
+    joined = packed.join(spans, ["id", "key"], "left")
     cut = joined.select("row", "starts", "stops").mapInArrow(_cut, f"row {kind.simpleString()}, text string, cut boolean").where("not cut or text <> ''")
     columns = [F.col("row")[c].alias(c) for c in docs.columns]
     at = docs.columns.index("text")
@@ -214,8 +367,8 @@ def _cut(batches):
             data, offsets = W.text_bytes(texts.slice(k, 1))
             begin, end, first = W.word_spans(data, offsets, W.SPACES)
             gone = np.zeros(len(begin) + 1, np.int64)
-            np.add.at(gone, np.minimum(starts, len(begin)), 1)  # spans of another row with this doc_id may reach further
-            np.add.at(gone, np.minimum(stops, len(begin)), -1)
+            np.add.at(gone, starts, 1)
+            np.add.at(gone, stops, -1)
             kept = np.cumsum(gone[:-1]) == 0
             edges = np.flatnonzero(np.diff(np.r_[False, kept, False].astype(np.int8)))
             # From a kept run's first word to the word after it, so the white space between stays as it is.
@@ -226,6 +379,20 @@ def _cut(batches):
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return found.select(shown("id").alias("doc_id"), shown("first_id").alias("first_doc_id"), F.col("start").alias("start_word"), F.col("first_start").alias("first_start_word"), "n_words")
+    found = lambda: repeats(docs, shuffle_parts(spark)).select(shown("id").alias("doc_id"), shown("first_id").alias("first_doc_id"), F.col("start").alias("start_word"), F.col("first_start").alias("first_start_word"), "n_words")
+    return finished(spark, "repeats", found)
+
+
+# Every window of SPAN words by its words; equal texts as classes; runs of windows by their distance to the first place.
+SQL = f"""
+WITH docs AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+longer AS (SELECT doc_id, words, min(doc_id) OVER (PARTITION BY words) AS first_id FROM docs WHERE len(words) >= {SPAN}),
+windows AS (SELECT doc_id, k AS p, list_aggregate(words[k + 1 : k + {SPAN}], 'string_agg', ' ') AS w FROM longer, unnest(range(len(words) - {SPAN} + 1)) u(k) WHERE doc_id = first_id),
+placed AS (SELECT doc_id, p, min(struct_pack(i := doc_id, a := p)) OVER (PARTITION BY w) AS f FROM windows),
+hits AS (SELECT doc_id, p, f.i AS first_id, f.a AS first_p, p - f.a AS shift FROM placed WHERE doc_id <> f.i OR p <> f.a),
+runs AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, first_id, shift ORDER BY p) AS run FROM hits)
+SELECT doc_id, first_id AS first_doc_id, min(p)::BIGINT AS start_word, min(first_p)::BIGINT AS first_start_word, (max(p) - min(p) + {SPAN})::BIGINT AS n_words
+FROM runs GROUP BY doc_id, first_id, shift, run
+UNION ALL SELECT doc_id, first_id, 0, 0, len(words)::BIGINT FROM longer WHERE doc_id <> first_id"""
