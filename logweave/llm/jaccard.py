@@ -5,20 +5,25 @@ Documents with equal sets form one class.  (1) Classes that share a minhash
 meet a leader of their key and are linked to it where the exact test holds.
 Groups are the classes with the same most liked leader, linked or not.  (2) Tokens have one global order:
 those found frequent in a hash sample last, else by hash.  The matrix holds
-each group's union of its members' prefixes in that order, with the sizes it
-spans and the links so far.  A query (class) counts its prefix tokens in each group's union, which
-bounds its overlap with any member from above: to reach the threshold it must
-share LAP tokens.  Only groups that qualify are opened: their members, in
-blocks, meet the queries, in blocks, and a bound on the symmetric difference
-from 1,024-bit parity sketches, and for large sets from counts by bucket,
-leaves few pairs, which are tested exactly.  The order and the leaders steer
-cost only: no link is lost.
+each group's union of its members' prefixes in that order, a row for each
+token and group with the sizes it spans and the components in it.  A query
+(class) counts its prefix tokens in each group's union, which bounds its
+overlap with any member from above: to reach the threshold it must share LAP
+tokens.  Only groups that qualify are opened: their members, in blocks, meet
+the queries, in blocks, each pair of blocks a row of its own, and a bound on
+the symmetric difference from 1,024-bit parity sketches, and for large sets
+from counts by bucket, leaves few pairs, which are tested exactly.  A component
+that fills blocks of a group by itself doesn't meet its own.  The order steers
+cost only, and leaders supply links that were tested: no link is lost.
+
+Classes are named by 128 bits and their size, and numbered once they are
+written.
 
 Defined results: null, empty and word-less texts have size 0 and are linked
 with nothing; fewer words than four are one shingle; repeated rows are each
-returned, in one component if their set isn't empty; a null doc_id ranks
-before all others; an empty table gives an empty result; other columns are
-ignored.
+returned, in one component if their set isn't empty; rows with one doc_id and
+unlike texts are each placed by their own text; a null doc_id ranks before all
+others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import or_empty, read_table, small_batches, written
+from .common import finished, one_text, or_empty, read_table, shuffle_parts, small_batches, text_key, written
 from .components import components
 
 WIDTH, PERCENT = 4, 85
@@ -38,7 +43,7 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 32, 3, 1 << 21  # 1 of 32 documents; that ofte
 BITS = 1024  # of a parity sketch
 LONG = BITS // 2  # sets from that size on have counts too
 PER_BLOCK = 256  # members or queries, on average
-NO_ID = -(2**63) + 1  # its negative is a number too
+NO_ID = -(2**63)
 
 
 def sets_of(column, width: int) -> list[np.ndarray]:
@@ -56,8 +61,10 @@ def sets_of(column, width: int) -> list[np.ndarray]:
     return out
 
 
-def signature(tokens: np.ndarray) -> np.uint64:
+def signature(tokens: np.ndarray, salt: int = 0) -> np.uint64:
     """Name of a set: equal sets have equal names."""
+    if salt:
+        tokens = W.mix(tokens ^ np.uint64(salt))
     return W.span_hashes(tokens, np.array([0]), np.array([len(tokens)]))[0]
 
 
@@ -84,44 +91,42 @@ def prefix_length(n: int, percent: int, lap: int) -> int:
 
 
 def summaries(docs: DataFrame, width: int) -> DataFrame:
-    """id, set size, set name, minhash keys and parity sketch of every document."""
+    """id, key, set size, set name, minhash keys and sketches of every document."""
     import pyarrow as pa
 
     def run(batches):
         seeds = W.mix(np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
         for batch in W.batches_of(batches):
             sets = sets_of(batch.column("text"), width)
-            names = np.array([signature(s) for s in sets], np.uint64).view(np.int64)
+            names = [np.array([signature(s, salt) for s in sets], np.uint64).view(np.int64) for salt in (0, 0xA0761D6478BD642F)]
             keys = [(W.mix(s[None, :] ^ seeds[:, None]).min(axis=1).view(np.int64).tolist() if len(s) else []) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names), pa.array(keys, pa.list_(pa.int64())), pa.array(map(parity, sets), pa.binary()), pa.array(map(bucket_counts, sets), pa.binary())], ["id", "n", "sig", "keys", "bits", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, names), pa.array(keys, pa.list_(pa.int64())), pa.array(map(parity, sets), pa.binary()), pa.array(map(bucket_counts, sets), pa.binary())], ["id", "key", "n", "s1", "s2", "keys", "bits", "counts"])
 
-    return docs.mapInArrow(run, "id long, n long, sig long, keys array<long>, bits binary, counts binary")
+    return docs.select("id", "key", "text").mapInArrow(run, "id long, key long, n long, s1 long, s2 long, keys array<long>, bits binary, counts binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs of classes (a, a_id, b, b_id) whose sets pass the exact test, as (a, b)."""
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs of classes (a, b) whose sets pass the exact test; texts holds each class's (node, text)."""
     import pyarrow as pa
 
-    with_b = pairs.join(docs.select(F.col("id").alias("b_id"), F.col("text").alias("b_text")), "b_id")
-    both = with_b.join(docs.select(F.col("id").alias("a_id"), F.col("text").alias("text")), "a_id")
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+    both = with_b.join(texts.select(F.col("node").alias("a"), "text"), "a")
 
     def run(batches):
-        last_id, last_name, last_set = None, None, None
+        last, last_set = None, None
         for batch in W.batches_of(batches):
             a_names, b_names = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             b_sets = sets_of(batch.column("b_text"), width)
             a_texts = batch.column("text")
             kept = []
             for k, (a, b) in enumerate(zip(a_names, b_names)):
-                if a != last_id or a != last_name:
-                    last_set = sets_of(a_texts.slice(k, 1), width)[0]
-                    last_id, last_name = a, int(signature(last_set).view(np.int64))
-                # An id that stands on rows with different texts brings rows of another class; they are passed over.
-                if last_name == a and int(signature(b_sets[k]).view(np.int64)) == b and similar(last_set, b_sets[k], percent):
+                if a != last:
+                    last, last_set = a, sets_of(a_texts.slice(k, 1), width)[0]
+                if similar(last_set, b_sets[k], percent):
                     kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.int64())], ["a", "b"])
 
-    return both.select("a", "b", "text", "b_text").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "text", "b_text").mapInArrow(run, "a long, b long")
 
 
 def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
@@ -132,7 +137,7 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
         for batch in W.batches_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets_of(batch.column("text"), width)).view(np.int64))], ["token"])
 
-    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text")
+    some = docs.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("text")
     counts = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
     got = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy()
     return np.sort(got.view(np.uint64))
@@ -163,67 +168,42 @@ def prefixes(nodes: DataFrame, width: int, percent: int, frequent: np.ndarray) -
     return nodes.select("node", "grp", "comp", "text").mapInArrow(run, "token long, grp long, comp long, node long, n int")
 
 
-def qualifying(matrix: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(node, grp) where the class shares LAP prefix tokens with the union of a group that holds a fitting size and a class not linked to it yet."""
-    import pyarrow as pa
+def qualifying(matrix: DataFrame, percent: int) -> DataFrame:
+    """(node, grp) where the class shares LAP prefix tokens with the union of a group that holds a fitting size and a class not linked to it yet.
 
-    schema = pa.schema([("node", pa.int64()), ("grp", pa.int64()), ("n", pa.int64())])
-    names = ("token", "grp", "comp", "node", "n")
-
-    def of_run(grp, comp, node, n):
-        """The token's queries with the groups that have it, from each group's sizes and components here."""
-        ids, inverse = np.unique(grp, return_inverse=True)
-        low, high = np.full(len(ids), 1 << 30), np.zeros(len(ids), np.int64)
-        first, last = np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), np.iinfo(np.int64).min)
-        for put, to, what in ((np.minimum, low, n), (np.maximum, high, n), (np.minimum, first, comp), (np.maximum, last, comp)):
-            put.at(to, inverse, what)
-        step = max(1, (1 << 20) // len(ids))
-        for k in range(0, len(node), step):
-            mine, own = n[k : k + step, None], comp[k : k + step, None]
-            q, g = np.nonzero((100 * high >= percent * mine) & (100 * mine >= percent * low) & ((first != own) | (last != own)))
-            if len(q):
-                yield pa.RecordBatch.from_arrays([pa.array(node[k + q]), pa.array(ids[g]), pa.array(n[k + q].astype(np.int64))], schema=schema)
+    Groups are summed up by token before they meet the queries, so a token that
+    very many classes of one group share is a single row on that side, and the
+    other side can be split.
+    """
+    live = matrix.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
+    rows = written(matrix.join(written(live, "live-tokens"), "token", "left_semi"), "live-matrix")
+    union = rows.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"))
+    met = rows.drop("grp").join(written(union, "unions"), "token")
+    met = met.where(f"100 * high >= {percent} * n and 100 * n >= {percent} * low and (first <> comp or last <> comp)")
+    # Sets too small for LAP tokens share as many as they have.
+    hits = met.groupBy("node", "grp").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    return hits.where(F.col("shared") >= F.least(F.lit(LAP), F.col("n"))).select("node", "grp")
 
-    def run(batches):
-        held: list[tuple] = []
-
-        def flush(parts):
-            token, *rest = (np.concatenate(x) for x in zip(*parts))
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            ends = np.r_[starts[1:], len(token)]
-            many = ends - starts > 1
-            for a, b in zip(starts[many].tolist(), ends[many].tolist()):
-                comp = rest[1][a:b]
-                if (comp != comp[0]).any():
-                    yield from of_run(*(c[a:b] for c in rest))
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(c).to_numpy() for c in names]
-            token = columns[0]
-            cut = int(np.searchsorted(token, token[-1]))  # the last run may go on
-            if cut:
-                yield from flush([*held, tuple(c[:cut] for c in columns)])
-                held = []
-            elif held and held[-1][0][-1] != token[0]:
-                yield from flush(held)
-                held = []
-            held.append(tuple(c[cut:] for c in columns))
-        if held:
-            yield from flush(held)
-
-    hits = matrix.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(run, "node long, grp long, n long")
-    # Sets too small for LAP tokens share as many as they have.
-    need = F.least(F.lit(LAP), F.col("n"))
-    return hits.groupBy("node", "grp").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= need).select("node", "grp", "n")
+COLUMNS = ["node", "comp", "n", "bits", "counts"]
 
 
-def in_blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (grp, node, comp, id, n, bits, counts) packed into about PER_BLOCK a block: (grp, name)."""
-    blocks = rows.groupBy("grp").agg(F.ceil(F.count("*") / PER_BLOCK).alias("blocks"))
-    dealt = rows.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    return dealt.groupBy("grp", "block").agg(F.collect_list(F.struct("node", "comp", "id", "n", "bits", "counts")).alias(name)).drop("block")
+def in_blocks(rows: DataFrame, side: str, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (grp and COLUMNS) packed into about PER_BLOCK a block, and the list of blocks (grp, tag, block).
+
+    A component with PER_BLOCK rows in a group has blocks of its own, tagged
+    with its number; the others share blocks tagged -1.
+    """
+    sizes = rows.groupBy("grp", "comp").agg(F.count("*").alias("c")).withColumn("tag", F.when(F.col("c") >= PER_BLOCK, F.col("comp")).otherwise(F.lit(-1)))
+    sizes = written(sizes, "component-sizes")
+    blocks = written(sizes.groupBy("grp", "tag").agg(F.ceil(F.sum("c") / PER_BLOCK).alias("blocks")), "block-counts")
+    deal = written(sizes.join(blocks, ["grp", "tag"]).select("grp", "comp", "tag", "blocks"), "deal")
+    dealt = rows.join(deal, ["grp", "comp"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # A group's rows lie in one task here, unless they are dealt anew by block.
+    packed = dealt.repartition(parts, "grp", "tag", "block").groupBy("grp", "tag", "block").agg(F.collect_list(F.struct(*COLUMNS)).alias("rows"))
+    names = [F.col(c).alias(f"{side}_{c}") for c in ("tag", "block", "rows")]
+    listed = blocks.select("grp", "tag", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    return packed.select("grp", *names), listed.select("grp", *names[:2])
 
 
 def differing(a: bytes, b: bytes) -> int:
@@ -231,17 +211,17 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.abs(np.frombuffer(a, np.uint8).astype(np.int16) - np.frombuffer(b, np.uint8)).sum())
 
 
-def opened_pairs(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, a_id, b, b_id) of queries and members of the groups they open that no bound rules out."""
+def opened_pairs(queries: DataFrame, members: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs (a, b) of queries and members of the groups they open that no bound rules out."""
     import pyarrow as pa
 
     def columns(rows):
-        return [np.array([r[c] for r in rows]) for c in ("node", "comp", "id", "n")] + [np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1), [r["counts"] for r in rows]]
+        return [np.array([r[c] for r in rows]) for c in ("node", "comp", "n")] + [np.frombuffer(b"".join(r["bits"] for r in rows), np.uint64).reshape(len(rows), -1), [r["counts"] for r in rows]]
 
     def run(batches):
         for batch in batches:
-            for q, m in zip(batch.column("queries"), batch.column("members")):
-                (q_node, q_comp, q_id, q_n, q_bits, q_counts), (m_node, m_comp, m_id, m_n, m_bits, m_counts) = columns(q.as_py()), columns(m.as_py())
+            for q, m in zip(batch.column("q_rows"), batch.column("m_rows")):
+                (q_node, q_comp, q_n, q_bits, q_counts), (m_node, m_comp, m_n, m_bits, m_counts) = columns(q.as_py()), columns(m.as_py())
                 for k in range(len(q_node)):
                     # Apart in size at most as the threshold lets, and not linked yet; the sketches are read for those only.
                     ok = np.flatnonzero((m_comp != q_comp[k]) & (np.abs(m_n - q_n[k]) * (100 + percent) <= (m_n + q_n[k]) * (100 - percent)))
@@ -250,55 +230,97 @@ def opened_pairs(queries: DataFrame, members: DataFrame, percent: int) -> DataFr
                     if q_counts[k]:
                         ok = ok[[not m_counts[x] or differing(m_counts[x], q_counts[k]) * (100 + percent) <= int(m_n[x] + q_n[k]) * (100 - percent) for x in ok]]
                     if len(ok):
-                        swap = m_node[ok] < q_node[k]
-                        mine, mine_id = np.full(len(ok), q_node[k]), np.full(len(ok), q_id[k])
-                        pick = lambda x, y: pa.array(np.where(swap, x, y))  # noqa: B023, E731
-                        yield pa.RecordBatch.from_arrays([pick(m_node[ok], mine), pick(m_id[ok], mine_id), pick(mine, m_node[ok]), pick(mine_id, m_id[ok])], ["a", "a_id", "b", "b_id"])
+                        mine = np.full(len(ok), q_node[k])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(m_node[ok], mine)), pa.array(np.maximum(m_node[ok], mine))], ["a", "b"])
 
-    both = in_blocks(queries, "queries").join(in_blocks(members, "members"), "grp")
-    return both.select("queries", "members").mapInArrow(run, "a long, a_id long, b long, b_id long").distinct()
+    (q, q_list), (m, m_list) = in_blocks(queries, "q", parts), in_blocks(members, "m", parts)
+    pairs = q_list.join(m_list, "grp").where("q_tag = -1 or q_tag <> m_tag")
+    both = pairs.join(q, ["grp", "q_tag", "q_block"]).join(m, ["grp", "m_tag", "m_block"])
+    return both.select("q_rows", "m_rows").mapInArrow(run, "a long, b long").distinct()
 
 
-def join_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document (doc_id, text)."""
+def placed_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """id, key, n, first_id and first_key of every document (doc_id, text): the first row of its component, itself where it is linked with nothing."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), or_empty("text").alias("text"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_key().alias("key"), or_empty("text").alias("text"))
     all_docs = written(summaries(texts, width), "sets")
-    classes = written(all_docs.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("counts").alias("counts")), "classes")
+    name = ["s1", "s2", "n"]
+    classes = all_docs.where("n > 0").groupBy(*name).agg(F.min(F.struct("id", "key")).alias("f"), *[F.first(c).alias(c) for c in ("keys", "bits", "counts")])
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), *name, "f.id", "f.key", "keys", "bits", "counts"), "classes")
+    of_class = written(one_text(texts).join(classes.select("id", "key", "node"), ["id", "key"]).select("node", "text"), "class-texts")
 
     # The leader of a key is the class that shares keys with most others: copies of one text are nearer to it than to each other.
-    keyed = classes.select("sig", "id", "n", F.posexplode("keys").alias("k", "key"))
-    shared = keyed.groupBy("k", "key").agg(F.count("*").alias("m")).where("m > 1")
-    keyed = written(keyed.join(shared, ["k", "key"]), "keyed")
-    liked = keyed.groupBy("sig").agg(F.sum("m").alias("liked"))
-    leaders = keyed.join(liked, "sig").groupBy("k", "key").agg(F.max(F.struct("liked", (-F.col("id")).alias("back"), "id", "sig", "n")).alias("l"))
-    led = keyed.join(leaders, ["k", "key"])
-    families = led.groupBy("sig").agg(F.max(F.struct("l.liked", "l.back", "l.sig"))["sig"].alias("grp"))
-    offered = led.where("sig <> l.sig")
-    fits = f"100 * least(n, l.n) >= {percent} * greatest(n, l.n)"
-    offered = offered.where(fits).select(F.col("l.sig").alias("a"), F.col("l.id").alias("a_id"), F.col("sig").alias("b"), F.col("id").alias("b_id")).distinct()
-    links = written(verified(written(offered, "offered"), texts, width, percent), "verified")
+    keyed = classes.select("node", "n", F.posexplode("keys").alias("k", "mark"))
+    shared = written(keyed.groupBy("k", "mark").agg(F.count("*").alias("m")).where("m > 1"), "shared-keys")
+    keyed = written(keyed.join(shared, ["k", "mark"]), "keyed")
+    liked = keyed.groupBy("node").agg(F.sum("m").alias("liked"))
+    leaders = keyed.join(liked, "node").groupBy("k", "mark").agg(F.max(F.struct("liked", "node", "n")).alias("l"))
+    led = keyed.join(written(leaders, "leaders"), ["k", "mark"])
+    families = led.groupBy("node").agg(F.max(F.struct("l.liked", "l.node"))["node"].alias("grp"))
+    offered = led.where(f"node <> l.node and 100 * least(n, l.n) >= {percent} * greatest(n, l.n)")
+    offered = offered.select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(verified(written(offered, "offered"), of_class, width, percent), "verified")
     groups = written(components(links), "groups")
 
-    nodes = classes.select("sig", "id", "n", "bits", "counts").join(groups.withColumnRenamed("node", "sig"), "sig", "left").join(families, "sig", "left")
-    nodes = written(nodes.select("id", F.col("sig").alias("node"), F.coalesce("component", "sig").alias("comp"), F.coalesce("grp", "sig").alias("grp"), "n", "bits", "counts"), "nodes")
-    matrix = prefixes(texts.join(nodes.select("id", "node", "comp", "grp"), "id"), width, percent, frequent_tokens(texts, width))
-    asked = qualifying(matrix, percent, parts).select("node", "grp").join(nodes.select("node", "comp", "id", "n", "bits", "counts"), "node")
-    asked = written(asked.select("grp", "node", "comp", "id", "n", "bits", "counts"), "asked")
-    of_asked = nodes.join(asked.select("grp").distinct(), "grp", "left_semi").select("grp", "node", "comp", "id", "n", "bits", "counts")
-    more = verified(written(opened_pairs(asked, of_asked, percent), "opened"), texts, width, percent)
-
-    linked = components(links.unionByName(more))
-    smallest = linked.join(classes.select(F.col("sig").alias("node"), "id"), "node")
-    first = smallest.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_class = classes.select("sig", "id").join(linked.withColumnRenamed("node", "sig"), "sig", "left").join(first, "component", "left")
-    of_class = written(of_class.select("sig", F.coalesce("component_id", "id").alias("component_id")), "class-components")
-    out = all_docs.join(of_class, "sig", "left")
-    shown = lambda c: F.when(c != NO_ID, c)
-    found = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(shown(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(found).alias("component_id"))
+    nodes = classes.select("node", "n", "bits", "counts").join(groups, "node", "left").join(families, "node", "left")
+    nodes = written(nodes.select("node", F.coalesce("component", "node").alias("comp"), F.coalesce("grp", "node").alias("grp"), "n", "bits", "counts"), "nodes")
+    matrix = written(prefixes(of_class.join(nodes.select("node", "comp", "grp"), "node"), width, percent, frequent_tokens(of_class, width)), "matrix")
+    asked = written(qualifying(matrix, percent).join(nodes.select(*COLUMNS), "node").select("grp", *COLUMNS), "asked")
+    of_asked = nodes.join(written(asked.select("grp").distinct(), "asked-groups"), "grp", "left_semi").select("grp", *COLUMNS)
+    more = verified(written(opened_pairs(asked, of_asked, percent, parts), "opened"), of_class, width, percent)
+
+    linked = written(components(written(links.unionByName(more), "all-links")), "components")
+    first = linked.join(classes.select("node", "id", "key"), "node").groupBy("component").agg(F.min(F.struct("id", "key")).alias("first"))
+    of_node = classes.select("node", *name, F.struct("id", "key").alias("own")).join(linked, "node", "left").join(written(first, "firsts"), "component", "left")
+    of_node = written(of_node.select(*name, F.coalesce("first", "own").alias("first")), "class-components")
+    out = all_docs.select("id", "key", *name).join(of_node, name, "left")
+    return out.select("id", "key", "n", F.coalesce("first.id", "id").alias("first_id"), F.coalesce("first.key", "key").alias("first_key"))
+
+
+def join_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document (doc_id, text)."""
+    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    found = lambda: placed_documents(docs, parts, width, percent).select(shown("id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("first_id").alias("component_id"))
+    return finished(docs.sparkSession, "joined", found)
+
+
+def one_of_each(docs: DataFrame, parts: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents, all their columns, with one row of each component: the first by doc_id.
+
+    Rows are told apart by doc_id and text, so a doc_id that stands on unlike
+    texts loses no text; of rows equal in both one stays.  Texts without words
+    are in no component and all stay.
+    """
+    spark = docs.sparkSession
+
+    def found():
+        rows = placed_documents(docs.select("doc_id", "text"), parts, width, percent).where("n > 0")
+        is_first = (F.col("id") == F.col("first_id")) & (F.col("key") == F.col("first_key"))
+        return rows.groupBy("id", "key", is_first.alias("stays")).agg(F.count("*").alias("times")).where("not stays or times > 1")
+
+    marks = finished(spark, "near-duplicates", found)
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_key": text_key()})
+    on = lambda df: [keyed["_id"] == df["id"], keyed["_key"] == df["key"]]
+    kept = keyed.join(marks, on(marks), "left_anti").drop("_id", "_key")
+    again = marks.where("stays")
+    if not again.head(1):
+        return kept
+    repeated = keyed.join(again, on(again), "left_semi").dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    return kept.unionByName(repeated)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return join_documents(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return join_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), shuffle_parts(spark))
+
+
+# Shingles by their words, pairs by an inverted list, components by the smallest id reachable.
+SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {WIDTH} THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(len(words) - {WIDTH} + 1), lambda k: array_to_string(words[k + 1 : k + {WIDTH}], ' '))) END AS s FROM docs),
+named AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY list_sort(s)) ELSE doc_id END AS rep FROM sets),
+lists AS (SELECT doc_id, n, unnest(s) AS w FROM sets JOIN named USING (doc_id) WHERE rep = doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM lists a JOIN lists b ON a.w = b.w AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+reach AS (SELECT DISTINCT rep AS a, rep AS b FROM named UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT doc_id, n::BIGINT AS n_shingles, least(doc_id, f)::BIGINT AS component_id FROM named JOIN (SELECT a, min(b) AS f FROM reach GROUP BY a) ON a = rep"""
