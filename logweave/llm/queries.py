@@ -19,5 +19,8 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_licenses": licenses.sql(),
+    "op3_suffixes": suffixes.SQL,
+    "op4_decontaminate": decontaminate.SQL,
+    "op6_jaccard": jaccard.SQL,
     "op9_warc": warc.SQL,
 }

@@ -109,6 +109,7 @@ def test_quality_held_out_and_edges(spark):
 
 
 def brute_repeats(rows, span):
+    """Words that repeat, by doc_id and text."""
     seen, cut = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -148,6 +149,33 @@ def test_repeats(spark):
     assert suffixes.repeats(df.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("least,most", [(8192, 65536), (16, 64), (5, 12)])
+def test_runs_cut_anywhere_give_the_same_repeats(spark, least, most):
+    """A task may see the run of a hot passage in pieces."""
+    from logweave.llm import suffixes
+
+    rng = random.Random(12)
+    passage, inner = sentence(rng, 90), sentence(rng, 30)
+    rows = [(k, " ".join([sentence(rng, rng.randint(0, 30)), passage if k % 3 else passage[: len(passage) // 2], inner if k % 2 else "", sentence(rng, rng.randint(0, 30))])) for k in range(90)]
+    rows += [(200 + k, f"{inner} {inner} {sentence(rng, 3)}") for k in range(9)] + [(300, "x" * 3000 + " " + "la " * 300), (301, "y " + "x" * 3000 + " " + "la " * 300)]
+    mine = defaultdict(set)
+    for r in suffixes.repeats(docs(spark, rows), 3, least=least, most=most).collect():
+        mine[r["id"]].update(range(r["start"], r["start"] + r["n_words"]))
+    assert dict(mine) == brute_repeats(rows, 50)
+
+
+def test_repeats_tell_rows_of_one_id_apart(spark):
+    from logweave.llm import suffixes
+
+    rng = random.Random(13)
+    passage, alone = sentence(rng, 60), sentence(rng, 70)
+    rows = [(1, passage + " " + sentence(rng, 20)), (5, sentence(rng, 10) + " " + passage), (5, alone), (5, alone), (6, None), (None, sentence(rng, 5) + " " + passage), (None, alone), (None, ""), (7, alone + " ")]
+    out = sorted(((r["doc_id"], r["text"]) for r in suffixes.without_repeats(docs(spark, rows), 5).collect()), key=str)
+    # A null doc_id ranks first, so its texts are whole and the others lose what they share with them.
+    want = [(1, rows[0][1].removeprefix(passage).strip()), (5, " ".join(rows[1][1].split()[:10])), (6, None), (None, rows[5][1]), (None, alone), (None, "")]
+    assert out == sorted(want, key=str)
+
+
 def test_repeats_on_documents(spark):
     from logweave.llm import suffixes
 
@@ -183,23 +211,61 @@ def test_masks_leave_no_passage_out():
 
     from logweave.llm import decontaminate as d
 
-    replaced = d.LEAST - int(np.ceil(d.SHARE * d.LEAST))
-    for n in (12, d.LEAST):
-        for gone in combinations(range(n), replaced):
-            assert any(not any(0 <= k - at < len(m) and m[k - at] == "1" for k in gone) for m in d.MASKS for at in range(n - len(m) + 1)), (n, gone)
+    hit = lambda masks, n, gone: any(not any(0 <= k - at < len(m) and m[k - at] == "1" for k in gone) for m in masks for at in range(n - len(m) + 1))
+    for n in range(d.SHORT, d.LEAST + 1):
+        masks = d.MASKS if n >= d.LONG else d.SHORT_MASKS
+        for gone in combinations(range(n), n - int(np.ceil(d.SHARE * n))):
+            assert hit(masks, n, gone), (n, gone)
+
+
+def brute_passages(text, item):
+    """Passages at every shift of the item along the text, by words."""
+    from logweave.llm import decontaminate as d
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UP))
+    a, b, out = words(text), words(item), set()
+    if 0 < len(b) < d.SHORT:
+        return {(0, 0, len(b), len(b))} if a == b else set()
+    for shift in range(-len(b) + 1, len(a)):
+        lo, hi = max(0, shift), min(len(a), shift + len(b))
+        same = np.array([a[p] == b[p - shift] for p in range(lo, hi)], bool)
+        out |= {(lo + x, lo - shift + x, y - x, int(same[x:y].sum())) for x, y in d.agreeing(same, min(d.LEAST, len(b)))} if len(b) else set()
+    return out
+
+
+def test_decontamination_against_every_shift(spark):
+    from logweave.llm import decontaminate as d
+
     rng = random.Random(5)
-    for n in range(12, 18):
-        words = np.array([rng.getrandbits(63) for _ in range(n)], np.uint64)
-        index = d.Index([], [])
-        index.words, least = [words], min(n, d.LEAST)
-        index.seeds = [(m, h[o], np.zeros(len(h), np.int64), o) for m in d.MASKS for h in [d.seeds(words, m)] for o in [np.argsort(h)]]
-        for k in range(4):
-            for gone in combinations(range(1, n - 1), k):
-                text = words.copy()
-                text[list(gone)] = [rng.getrandbits(63) for _ in gone]
-                same = text == words
-                if all(same[a : a + least].sum() >= d.SHARE * least for a in range(n - least + 1)):
-                    assert list(index.passages(text, np.array([0, n]))) == [(0, 0, 0, 0, n, n - k)], (n, gone)
+    vocabulary = [sentence(rng, 1) for _ in range(60)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(n, " ".join(some(n))) for n in [1, 2, 5, *range(6, 21), 30, 60]] + [(100, None), (101, ""), (102, "?!"), (None, " ".join(some(16)))]
+    items += [(103, items[9][1]), (104, items[9][1].upper() + ".")]
+    rows = [(1, None), (2, ""), (3, "oh yes we can " + items[0][1]), (4, items[0][1]), (5, items[1][1]), (6, items[2][1] + " more"), (7, " ".join(some(6000)))]
+    for k in range(240):
+        item = rng.choice(items[3:20])[1].split()
+        for place in rng.sample(range(len(item)), rng.randint(0, max(1, len(item) // 4))):
+            item[place] = "zzz"
+        rows.append((10 + k, " ".join(some(rng.randint(0, 30)) + item[rng.choice([0, 0, 1]) :] + some(rng.randint(0, 30)))))
+    rows += [(None, items[12][1]), (5, " ".join(some(30))), (4, items[0][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r) for r in d.contaminated(docs(spark, rows), bench).collect()), key=str)
+    want = sorted({(i, k, *p) for i, t in set(rows) for k, item in items for p in brute_passages(t, item)}, key=str)
+    assert got == want and len({i for i, *_ in want}) > 100
+    dirty = {(i, t) for i, t in rows if any(brute_passages(t, item) for _, item in items)}
+    kept = d.clean_documents(docs(spark, rows), bench)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted((r for r in rows if r not in dirty), key=str)
+    assert kept.columns == docs(spark, []).columns
+
+
+def test_full_blooms_lose_nothing():
+    from logweave.llm import decontaminate as d
+
+    rng = np.random.default_rng(3)
+    inside, outside = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    for bloom, least, most in ((d.Bloom.fitting(5000), 0, 10), (d.Bloom(1 << 10), 4000, 5000)):
+        bloom.add(inside)
+        assert len(bloom.maybe(inside)) == 5000 and least <= len(bloom.maybe(outside)) <= most
 
 
 # op5
@@ -262,6 +328,40 @@ def test_jaccard(spark, width, percent):
     assert jaccard.join_documents(docs(spark, []), 5).count() == 0
 
 
+def test_jaccard_of_large_groups_and_sets(spark, monkeypatch):
+    """A group of several blocks in two large and some small components, and sets large enough for counts by bucket."""
+    from logweave.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "PER_BLOCK", 8)
+    rng = random.Random(9)
+    rows = []
+    for k, size in enumerate((60, 60, 900)):
+        base = sentence(rng, size).split()
+        for c in range(60):
+            copy = [*base]
+            for place in rng.sample(range(size), rng.randint(0, size // 8)):
+                copy[place] = f"w{rng.randint(0, 9)}"
+            rows.append((1000 * k + c, " ".join(copy)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(docs(spark, rows), 5).collect()}
+    assert got == brute_components(rows, 4, 85)
+    assert len({c for _, c in got.values()}) > 3
+
+
+def test_jaccard_tells_rows_of_one_id_apart(spark):
+    from logweave.llm import jaccard
+
+    rng = random.Random(10)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (8, b + " end"), (None, c), (9, None), (9, ""), (9, "")]
+    found = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join_documents(docs(spark, rows), 5).collect())
+    assert found == sorted([("1", 37, "1"), ("5", 37, "1"), ("5", 37, "5"), ("7", 37, "None"), ("7", 37, "None"), ("8", 38, "5"), ("None", 37, "None"), ("9", 0, "9"), ("9", 0, "9"), ("9", 0, "9")])
+    kept = jaccard.one_of_each(docs(spark, rows), 5)
+    assert kept.columns == docs(spark, []).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (None, c), (9, None), (9, ""), (9, "")], key=str)
+    twice = jaccard.one_of_each(docs(spark, [(1, a), (1, a), (2, b)]), 5)
+    assert sorted((r["doc_id"], r["text"]) for r in twice.collect()) == [(1, a), (2, b)]
+
+
 def test_jaccard_on_documents(spark):
     from logweave.llm import jaccard
 
@@ -476,7 +576,32 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in near.collect()} == want
     out = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len(out) < before.count() and set(out[0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
-    odd = docs(spark, EDGE)
-    for name in names[1:4]:
-        assert stage[name](spark, odd, SF).columns == odd.columns
-    assert bpe and suffixes
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Each stage over nulls, empty texts, repeated rows, one doc_id on unlike texts, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    a, b, item, passage = sentence(rng, 40), sentence(rng, 45), sentence(rng, 20), sentence(rng, 60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, None), (2, ""), (2, ""), (3, a), (3, b), (4, a), (4, item + " " + sentence(rng, 30)), (5, b), (5, b), (None, None)]
+    rows += [(6, sentence(rng, 70) + " " + passage), (7, sentence(rng, 70)), (7, passage + " " + sentence(rng, 70))]
+    stage = dict(corpus_pipeline.STAGES)
+    odd = docs(spark, rows)
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    want = {
+        "quality": rows,  # without labels nothing is rejected
+        "near_duplicates": [r for r in rows if r not in ((4, a), (5, b))],
+        "repeated_passages": [r if r != rows[-1] else (7, rows[-1][1].removeprefix(passage).strip()) for r in rows],
+        "decontamination": [r for r in rows if not (r[1] or "").startswith(item)],
+    }
+    for name, kept in want.items():
+        got = stage[name](spark, odd, str(tmp_path))
+        assert got.columns == odd.columns
+        assert texts(got) == sorted(kept, key=str), name
+        assert stage[name](spark, docs(spark, []), str(tmp_path)).count() == 0
+    tokens = {(r["doc_id"], r["n_tokens"]) for r in stage["tokens"](spark, odd, str(tmp_path)).collect()}
+    assert {(1, 0), (2, 0), (None, 0)} <= tokens and stage["tokens"](spark, odd, str(tmp_path)).count() == len(rows)
+    assert stage["tokens"](spark, docs(spark, []), str(tmp_path)).count() == 0
