@@ -17,8 +17,9 @@ place, by (doc_id, word).
     suffixes share SPAN - o words to the right (an interval of the sorted run)
     and o words to the left (an interval of the run sorted by its left sides).
     Each repeat is matched with the first place of its words.  Of runs that
-    reach the end of what a task sees, the windows meet in a grouped minimum
-    over the 128-bit names of their words instead.
+    reach the end of what a task sees, the windows that are the first in sight
+    meet those of other tasks in a grouped minimum over the 128-bit names of
+    their words, and what matched them follows.
 
 Documents with equal words form one class (named by 128 bits and its length)
 that is handled once: its first document stays, the others repeat it from end
@@ -48,6 +49,7 @@ from .common import finished, one_text, or_empty, read_table, shuffle_parts, sma
 SPAN, BLOCK = 50, 12
 CHOICE = SPAN - BLOCK + 1  # block places in a window of SPAN words
 LONG_WORD = 64
+PIECE = 64  # windows; more than a suffix has, so that its matches lie in two pieces at most
 CHUNK, MOST_CHUNK = 8192, 65536  # suffixes that a task compares at once, and until when it waits for a run's end
 NO_ID = -(2**63)
 SALT = np.uint64(0xA0761D6478BD642F)
@@ -103,23 +105,32 @@ def retained(docs: DataFrame) -> DataFrame:
     return docs.select("id", "key", "text").mapInArrow(run, ", ".join(f"{n} long" for n in columns))
 
 
-def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """Each word with a space behind it, so that a text's first words are its first bytes."""
-    whole = data.tobytes()
-    out = []
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        word = whole[a:b]
-        if b - a > LONG_WORD:
-            word = b"\x00%d:" % (b - a) + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
-        out.append(word + b" ")
-    return out
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """A space and then all words with a space behind each, so that a text's first words are its first bytes, and where each begins (n + 1 numbers)."""
+    sizes = ends - starts
+    long = np.flatnonzero(sizes > LONG_WORD)
+    if len(long):
+        pieces, at = [], 0
+        for k in long.tolist():
+            word = data[starts[k] : ends[k]].tobytes()
+            name = b"\x00%d:" % len(word) + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
+            pieces += [data[at : starts[k]].tobytes(), name]
+            at, sizes[k] = ends[k], len(name)
+        data = np.frombuffer(b"".join([*pieces, data[at:].tobytes()]), np.uint8)
+        starts = starts + np.r_[0, np.cumsum(sizes - (ends - starts))[:-1]]
+    begin = np.r_[0, np.cumsum(sizes + 1)] + 1
+    flat = np.full(int(begin[-1]), 32, np.uint8)
+    # The bytes of a word go on from one another in both.
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    flat[place + np.repeat(begin[:-1], sizes)] = data[place + np.repeat(starts, sizes)]
+    return flat.tobytes(), begin
 
 
 def suffixes_with_words(texts: DataFrame) -> DataFrame:
     """(right, left, low, high, id, key, at) of the retained suffixes at the places asked for (id, key, places, text).
 
-    right holds the words from the place on and left those before it, the
-    nearest first; low and high are the numbers of words to the left at which
+    right holds the words from the place on and left, spelled backwards, those
+    before it; low and high are the numbers of words to the left at which
     the suffix's last and first window begin.
     """
     import pyarrow as pa
@@ -136,13 +147,14 @@ def suffixes_with_words(texts: DataFrame) -> DataFrame:
             want = np.flatnonzero(np.isin(place, asked))
             if not len(want):
                 continue
-            word = spelled(data, starts, ends)
+            flat, byte = spelled(data, starts, ends)
+            back = flat[::-1]
             text = np.searchsorted(first, place[want], "right") - 1
             for k in range(0, len(want), 4096):
                 part, of = want[k : k + 4096], text[k : k + 4096]
                 p, a, z = place[part], begin[part], last[part]
-                right = [b"".join(word[x : y + SPAN]) for x, y in zip(p.tolist(), z.tolist())]
-                left = [b"".join(word[x:y][::-1]) for x, y in zip(a.tolist(), p.tolist())]
+                right = [flat[x:y] for x, y in zip(byte[p].tolist(), byte[z + SPAN].tolist())]
+                left = [back[x:y] for x, y in zip((len(flat) - byte[p] + 1).tolist(), (len(flat) - byte[a] + 1).tolist())]
                 rows = [pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array((p - z).astype(np.int32)), pa.array((p - a).astype(np.int32))]
                 of_text = [batch.column(c).take(pa.array(of)) for c in ("id", "key")]
                 yield pa.RecordBatch.from_arrays([*rows, *of_text, pa.array(p - first[of])], schema=schema)
@@ -191,74 +203,72 @@ def matches(right: list[bytes], left: list[bytes], low: np.ndarray, high: np.nda
     return found
 
 
+CLOSED, OPEN, FIRST = 0, 1, 2  # kinds of rows of ``compared``
+
+
 def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MOST_CHUNK) -> DataFrame:
-    """Matches of windows and, of runs that a task doesn't see whole, windows by name.
+    """What tasks find in their sorted suffixes: (kind, id, key, start, n, first_id, first_key, first_start, w1, w2).
 
-    Rows (id, key, start, n, first_id, first_key, first_start, w1, w2): n windows
-    from start on equal those from first_start on; or, with w1 and w2, the
-    window at start has that name and first_id is null.
+    CLOSED: n windows from start on equal those from first_start on, which are
+    the first of their words anywhere.  OPEN: the same in a run that goes on in
+    another task, so first_start is the first in sight.  FIRST: a window (name
+    w1, w2) that is the first in sight in such a run; n is 1 if others equal it.
     """
     import pyarrow as pa
 
-    numbers = ["id", "key", "start", "n", "first_id", "first_key", "first_start", "w1", "w2"]
+    numbers = ["kind", "id", "key", "start", "n", "first_id", "first_key", "first_start", "w1", "w2"]
     schema = pa.schema([(c, pa.int64()) for c in numbers])
     columns = ["right", "left", "low", "high", "id", "key", "at"]
 
-    def closed(right, left, low, high, ids, keys, at, near):
-        # Distinct places: copies of a row would match themselves.
-        rank = np.empty(len(at), np.int64)
-        rank[np.lexsort((at, keys, ids))] = np.arange(len(at))
-        first = matches(right, left, low, high, rank, near)
-        # One row for windows side by side that equal windows of one suffix.
-        padded = np.full((len(at), CHOICE + 1), -1, np.int64)
-        padded[:, :CHOICE] = first
-        begin = (padded >= 0) & (padded != np.c_[np.full(len(at), -1), padded[:, :-1]])
-        row, o = np.nonzero(begin)
+    def rows_of(kind, *values):
+        n = len(values[0])
+        filled = [np.broadcast_to(np.int64(kind), n)] + [pa.nulls(n, pa.int64()) if v is None else v for v in values]
+        return pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v, np.ndarray) else v for v in filled], schema=schema)
+
+    def spans(first, ids, keys, at, kind, begin_row, end_row):
+        """One row for windows side by side that equal windows of one suffix."""
+        part = np.full((end_row - begin_row, CHOICE + 1), -1, np.int64)
+        part[:, :CHOICE] = first[begin_row:end_row]
+        row, o = np.nonzero((part >= 0) & (part != np.c_[np.full(len(part), -1), part[:, :-1]]))
         if not len(row):
             return
-        flat = padded.ravel()
+        flat = part.ravel()
         change = np.flatnonzero(np.r_[flat[1:] != flat[:-1], True])
         stop = change[np.searchsorted(change, row * (CHOICE + 1) + o)] - row * (CHOICE + 1)  # the last o of the same match
-        to = padded[row, o]
-        rows = [ids[row], keys[row], at[row] - stop, stop - o + 1, ids[to], keys[to], at[to] - stop]
-        none = pa.nulls(len(row), pa.int64())
-        yield pa.RecordBatch.from_arrays([*map(pa.array, rows), none, none], schema=schema)
+        to, own = part[row, o], row + begin_row
+        yield rows_of(kind, ids[own], keys[own], at[own] - stop, stop - o + 1, ids[to], keys[to], at[to] - stop, None, None)
 
-    def open_ended(right, left, low, high, ids, keys, at):
+    def firsts(first, right, left, low, high, ids, keys, at, begin_row, end_row):
+        met = np.zeros(first.shape, bool)
+        row, o = np.nonzero(first >= 0)
+        met[first[row, o], o] = True
         rows = []
-        for k, (r, l) in enumerate(zip(right, left)):
-            ahead, behind = r.split(b" ")[:-1], l.split(b" ")[:-1]
-            for o in range(int(low[k]), int(high[k]) + 1):
-                name = hashlib.blake2b(b" ".join([*behind[:o][::-1], *ahead[: SPAN - o]]), digest_size=16).digest()
-                rows.append((k, o, int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)))
-            if len(rows) > 20_000 or k == len(right) - 1:
-                at_row, o, one, two = (np.array(x, np.int64) for x in zip(*rows))
-                none = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[at_row], keys[at_row], at[at_row] - o, np.ones(len(rows), np.int64))), none, none, none, pa.array(one), pa.array(two)], schema=schema)
+        for k in range(begin_row, end_row):
+            all_words = left[k][::-1].split(b" ")[1:] + right[k].split(b" ")[:-1]
+            middle = int(high[k])
+            for o in range(int(low[k]), middle + 1):
+                if first[k, o] < 0:
+                    name = hashlib.blake2b(b" ".join(all_words[middle - o : middle - o + SPAN]), digest_size=16).digest()
+                    rows.append((k, o, met[k, o], int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)))
+            if rows and (len(rows) > 20_000 or k == end_row - 1):
+                own, o, others, one, two = (np.array(x, np.int64) for x in zip(*rows))
+                yield rows_of(FIRST, ids[own], keys[own], at[own] - o, others, None, None, None, one, two)
                 rows = []
 
-    def chunk(rows, from_start, at_end):
+    def chunk(rows, near, from_start, at_end):
         """Judge sorted rows: first and last runs are open where rows may lie before or after them."""
         right, left, low, high, ids, keys, at = rows
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1]) | (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-        if not new.all():
-            keep = np.flatnonzero(new)
-            right, left = [right[k] for k in keep], [left[k] for k in keep]
-            low, high, ids, keys, at = (x[keep] for x in (low, high, ids, keys, at))
-        near = shared_words(right)
+        n = len(at)
         heads = np.flatnonzero(np.r_[True, near[1:] < BLOCK])
-        a, b = 0, len(at)
-        if from_start:
-            a = int(heads[1]) if len(heads) > 1 else b
-        if at_end and b > a:
-            b = max(a, int(heads[-1]))
-        cut = lambda x, y: (right[x:y], left[x:y], low[x:y], high[x:y], ids[x:y], keys[x:y], at[x:y])
-        for x, y in {(0, a), (b, len(at))}:
-            if y > x:
-                yield from open_ended(*cut(x, y))
-        if b - a > 1:
-            yield from closed(*cut(a, b), np.r_[0, near[a + 1 : b]])
+        a = (int(heads[1]) if len(heads) > 1 else n) if from_start else 0
+        b = max(a, int(heads[-1])) if at_end else n
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((at, keys, ids))] = np.arange(n)
+        first = matches(right, left, low, high, rank, near)
+        yield from spans(first, ids, keys, at, CLOSED, a, b)
+        for x, y in ((0, a), (b, n)):
+            yield from spans(first, ids, keys, at, OPEN, x, y)
+            yield from firsts(first, right, left, low, high, ids, keys, at, x, y)
 
     def run(batches):
         held, from_start = None, True  # another task may hold the first run's beginning
@@ -274,19 +284,47 @@ def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MO
                 if at == 0:
                     if len(held[6]) < most:
                         break
-                    yield from chunk(held, True, True)
+                    yield from chunk(held, near, True, True)
                     held, from_start = [x[len(held[6]) :] for x in held], True
                 else:
-                    yield from chunk([x[:at] for x in held], from_start, False)
+                    yield from chunk([x[:at] for x in held], near[:at], from_start, False)
                     held, from_start = [x[at:] for x in held], False
                     break
         if held is not None and len(held[6]):
-            yield from chunk(held, from_start, True)
+            yield from chunk(held, shared_words(held[0]), from_start, True)
 
     sorted_rows = suffixes.select(*columns).repartitionByRange(parts, "right", "id", "key", "at").sortWithinPartitions("right", "id", "key", "at")
     return sorted_rows.mapInArrow(run, ", ".join(f"{c} long" for c in numbers))
 
 
+def settled(found: DataFrame) -> DataFrame:
+    """The OPEN and FIRST rows of ``compared`` with the first place anywhere: (id, key, start, n, first_id, first_key, first_start).
+
+    The windows that are first in sight meet in a minimum by name.  Side by side
+    they are ranges again, cut at multiples of PIECE, and the matches in sight
+    follow their first place's ranges, a row each rather than one a window.
+    """
+    lead = found.where(F.col("kind") == FIRST).select("id", "key", "start", "n", "w1", "w2")
+    place = F.min(F.struct("id", "key", "start")).alias("e")
+    earliest = lead.groupBy("w1", "w2").agg(place, F.count("*").alias("times"), F.max("n").alias("met")).where("times > 1 or met = 1")
+    # Written first: joined to an aggregate in the same stage, a passage that very many tasks share could not be split.
+    earliest = written(earliest.select("w1", "w2", F.col("e.id").alias("first_id"), F.col("e.key").alias("first_key"), F.col("e.start").alias("first_start")), "earliest")
+    mapped = lead.select("id", "key", "start", "w1", "w2").join(earliest, ["w1", "w2"])
+    mapped = mapped.withColumn("shift", F.col("start") - F.col("first_start")).withColumn("piece", F.expr(f"start div {PIECE}"))
+    same = ["id", "key", "first_id", "first_key", "shift", "piece"]
+    islands = mapped.withColumn("run", F.col("start") - F.row_number().over(Window.partitionBy(*same).orderBy("start")))
+    ranges = written(islands.groupBy(*same, "run").agg(F.min("start").alias("start"), F.count("*").alias("n")).drop("run"), "first-ranges")
+    own = ranges.where("id <> first_id or key <> first_key or shift <> 0").select("id", "key", "start", "n", "first_id", "first_key", (F.col("start") - F.col("shift")).alias("first_start"))
+
+    seen = found.where(F.col("kind") == OPEN).select("id", "key", "start", "n", F.col("first_id").alias("l_id"), F.col("first_key").alias("l_key"), F.col("first_start").alias("l_start"))
+    seen = seen.withColumn("piece", F.explode(F.sequence(F.expr(f"l_start div {PIECE}"), F.expr(f"(l_start + n - 1) div {PIECE}"))))
+    at = ranges.select(F.col("id").alias("l_id"), F.col("key").alias("l_key"), "piece", "first_id", "first_key", "shift", F.col("start").alias("r_start"), F.col("n").alias("r_n"))
+    low, high = F.greatest("l_start", "r_start"), F.least(F.col("l_start") + F.col("n"), F.col("r_start") + F.col("r_n"))
+    met = seen.join(at, ["l_id", "l_key", "piece"]).where("r_start < l_start + n and l_start < r_start + r_n")
+    followed = met.select("id", "key", (F.col("start") + low - F.col("l_start")).alias("start"), (high - low).alias("n"), "first_id", "first_key", (low - F.col("shift")).alias("first_start"))
+    return own.unionByName(followed)
+
+
 def repeats(docs: DataFrame, parts: int, **chunks: int) -> DataFrame:
     """(id, key, first_id, start, first_start, n_words): runs of words that also stand at an earlier place; key as in ``text_key``."""
     small_batches(docs.sparkSession)
@@ -308,13 +346,8 @@ def repeats(docs: DataFrame, parts: int, **chunks: int) -> DataFrame:
     suffixes = written(suffixes_with_words(one_text(texts).join(asked, ["id", "key"]).select("id", "key", "places", "text")), "suffix-words")
 
     found = written(compared(suffixes, parts, **chunks), "matches")
-    closed = found.where("first_id is not null").select("id", "key", "first_id", "start", "first_start", "n")
-    windows = found.where("first_id is null").select("id", "key", "start", "w1", "w2").distinct()
-    earliest = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "key", "start")).alias("e"), F.count("*").alias("n")).where("n > 1")
-    # Written first: joined to an aggregate in the same stage, a passage that very many documents share could not be split.
-    earliest = written(earliest.select("w1", "w2", F.col("e.id").alias("first_id"), F.col("e.key").alias("first_key"), F.col("e.start").alias("first_start")), "earliest")
-    opened = windows.join(earliest, ["w1", "w2"]).where("id <> first_id or key <> first_key or start <> first_start")
-    runs = closed.unionByName(opened.select("id", "key", "first_id", "start", "first_start", F.lit(1).cast("long").alias("n")))
+    closed = found.where(F.col("kind") == CLOSED).select("id", "key", "first_id", "start", "first_start", "n")
+    runs = closed.unionByName(settled(found).select(*closed.columns))
 
     # Runs of windows that follow each other and equal windows that follow each other are one passage.
     line = Window.partitionBy("id", "key", "first_id", "shift").orderBy("start")
