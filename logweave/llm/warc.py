@@ -24,11 +24,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path, written
+from .common import finished, read_table, scratch_path, written
 
 MIN_REVISIT = 100
 FILE_BYTES = 64 << 20
-BLOCK = 1 << 20
+BLOCK, STEP = 1 << 20, 1 << 14  # bytes read, and unpacked, at a time
 VERSION = b"WARC/1.1"
 MEMBER = b"\x1f\x8b\x08"
 
@@ -66,34 +66,61 @@ def gzip_member(data: bytes, level: int = 3) -> bytes:
 
 
 class Source:
-    """A window over a byte stream that grows on demand and forgets what was consumed."""
+    """A window over a file that grows on demand and forgets what was consumed; places are kept, so nothing is searched twice."""
 
     def __init__(self, stream) -> None:
-        self.stream, self.data, self.at, self.ended = stream, b"", 0, False
-        self.absent: set[bytes] = set()
+        self.stream, self.data, self.base, self.at, self.ended = stream, bytearray(), 0, 0, False
+        self.marks: dict[bytes, tuple[int, int]] = {}  # place of the next mark (or -1), and up to where the file has been searched
 
     def need(self, n: int) -> bool:
         """Whether n bytes from here are there."""
-        while len(self.data) < n and not self.ended:
-            got = self.stream.read(max(BLOCK, n - len(self.data)))
+        while self.base + len(self.data) < self.at + n and not self.ended:
+            got = self.stream.read(max(BLOCK, self.at + n - self.base - len(self.data)))
             self.ended = not got
             self.data += got
-        return len(self.data) >= n
-
-    def find(self, mark: bytes) -> int:
-        """Place of the next mark from here, -1 if none follows; reads on until it is found."""
-        start = 0
-        while mark not in self.absent:
-            place = self.data.find(mark, start)
+        return self.base + len(self.data) >= self.at + n
+
+    def view(self, start: int, n: int) -> bytes:
+        """n bytes of what has been read, from start bytes after here."""
+        k = self.at - self.base + start
+        return bytes(self.data[k : k + n])
+
+    def starts(self, mark: bytes) -> bool:
+        return self.data.startswith(mark, self.at - self.base)
+
+    def find(self, mark: bytes, grow: bool = True) -> int:
+        """Distance of the next mark from here, -1 if none follows (in what has been read, unless grow)."""
+        found, searched = self.marks.get(mark, (-1, 0))
+        while found < self.at:
+            start = max(self.at, searched - len(mark) + 1)
+            place = self.data.find(mark, start - self.base)
             if place >= 0:
-                return place
-            start = max(0, len(self.data) - len(mark) + 1)
-            if not self.need(max(2 * len(self.data), BLOCK)) and self.data.find(mark, start) < 0:
-                self.absent.add(mark)
-        return -1
+                found = self.base + place
+                searched = found + len(mark)
+                break
+            found, searched = -1, self.base + len(self.data)
+            if not (grow and self.need(searched - self.at + 1)):
+                break
+        self.marks[mark] = (found, searched)
+        return found - self.at if found >= self.at else -1
+
+    def holds(self, mark: bytes, start: int) -> bool:
+        """Whether the mark stands start bytes after here; what lies between is not read."""
+        place = self.at + start
+        if place + len(mark) <= self.base + len(self.data):
+            return self.data.startswith(mark, place - self.base)
+        back = self.stream.tell()
+        self.stream.seek(place)
+        got = self.stream.read(len(mark))
+        self.stream.seek(back)
+        return got == mark
 
     def skip(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        self.at += n
+        gone = self.at - self.base
+        if gone >= BLOCK:
+            del self.data[:gone]
+            self.base = self.at
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
@@ -119,27 +146,30 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
 
 
 def plain_record(source: Source):
-    """The uncompressed record at the source's place, or None; reads as far as its header says."""
+    """The uncompressed record at the source's place, or None; a wrong length in its header is seen before the payload is read."""
     source.need(12)
-    if not source.data.startswith(b"WARC/1."):
+    if not source.starts(b"WARC/1."):
+        return None
+    end, other = source.find(b"\r\n\r\n"), source.find(b"\nWARC/1.")
+    if end < 0 or 0 <= other < end:  # no header goes on past another version line
         return None
-    end = source.find(b"\r\n\r\n")
-    found = re.search(rb"(?im)^content-length:[ \t]*(\d{1,12})[ \t]*\r?$", source.data[: max(end, 0)])
-    if end < 0 or not found or not source.need(end + 8 + int(found[1])):
+    found = re.search(rb"(?im)^content-length:[ \t]*(\d{1,12})[ \t]*\r?$", source.view(0, end))
+    if not found or not source.holds(b"\r\n\r\n", end + 4 + int(found[1])):
         return None
-    return parse_record(source.data[: end + 8 + int(found[1])])
+    source.need(end + 8 + int(found[1]))
+    return parse_record(source.view(0, end + 8 + int(found[1])))
 
 
 def member_record(source: Source):
     """The record in the gzip member at the source's place with the member's length, or None."""
-    if not source.need(18) or not source.data.startswith(MEMBER):
+    if not source.need(18) or not source.starts(MEMBER):
         return None
-    unpack, out, used, n = zlib.decompressobj(31), [], 0, BLOCK
+    unpack, out, used = zlib.decompressobj(31), [], 0
     try:
         while not unpack.eof:
             if not source.need(used + 1):
                 return None
-            part = source.data[used : used + n]
+            part = source.view(used, STEP)
             out.append(unpack.decompress(part))
             used += len(part) - len(unpack.unused_data)
     except zlib.error:
@@ -149,7 +179,7 @@ def member_record(source: Source):
 
 
 def salvage(stream) -> Iterator[tuple[str, int, int, dict[str, str] | None, bytes | None]]:
-    """("record", offset, length, headers, payload) and ("gap", offset, length, None, None) in file order."""
+    """("record", offset, length, headers, payload) and ("gap", offset, length, None, None) in the order of a file that can be sought in."""
     source, gap = Source(stream), None
     while source.need(1):
         got = member_record(source) or plain_record(source)
@@ -163,15 +193,13 @@ def salvage(stream) -> Iterator[tuple[str, int, int, dict[str, str] | None, byte
         gap = source.at if gap is None else gap
         source.skip(1)
         while source.need(8):
-            places = [p for p in (source.data.find(MEMBER), source.data.find(b"WARC/1.")) if p >= 0]
+            places = [p for p in (source.find(MEMBER, False), source.find(b"WARC/1.", False)) if p >= 0]
             if places:
                 source.skip(min(places))
                 break
-            source.skip(len(source.data) - 6)  # a mark may begin in the last bytes
-            if source.ended:
-                break
+            source.skip(source.base + len(source.data) - source.at - 6)  # a mark may begin in the last bytes
         else:
-            source.skip(len(source.data))
+            source.skip(source.base + len(source.data) - source.at)
     if gap is not None:
         yield "gap", gap, source.at - gap, None, None
 
@@ -184,7 +212,7 @@ def _open(path: str, mode: str):
 
     system, inner = fs.FileSystem.from_uri(path)
     if mode == "r":
-        return system.open_input_stream(inner)
+        return system.open_input_file(inner)
     system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
     return system.open_output_stream(inner)
 
@@ -193,13 +221,13 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """Pages with payload, digest and the response that each revisits (null for responses).
 
     The first page of a digest is found by a pre-aggregated minimum; only
-    digests that occur again are joined back, so most pages meet no hot key and
-    the join's hot keys can be split.
+    digests that occur again are joined back, and are written first, so a digest
+    with a third of all pages can be split in the join.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     firsts = rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(firsts, "digest", "left")
+    joined = rows.join(written(firsts, "first-pages"), "digest", "left")
     is_first = F.col("page_id").eqNullSafe(F.col("first"))
     return joined.withColumn("revisit", F.octet_length("payload").__ge__(MIN_REVISIT) & F.col("first").isNotNull() & ~is_first)
 
@@ -273,11 +301,15 @@ def read_archives(manifest: DataFrame, tasks: int, whole: bool = False) -> DataF
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write every page's record, read the archives back, and return what was read."""
+    """Write every page's record, read the archives back, and return what was read; the archives are deleted then."""
     pages = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
-    manifest = write_archives(with_revisits(pages), scratch_path(spark, "warc"))
-    found = read_archives(manifest, max(1, manifest.count()), whole=True)
-    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+    def found():
+        manifest = write_archives(with_revisits(pages), scratch_path(spark, "warc"))
+        rows = read_archives(manifest, max(1, manifest.count()), whole=True)
+        return rows.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+    return finished(spark, "warc-records", found)
 
 
 SQL = f"""
