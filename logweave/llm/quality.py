@@ -7,8 +7,9 @@ step from label to label.  The score of a document is the mean of its lines'
 forward-backward marginals for good, weighted by their bytes.
 
 The model is fitted on at most MOST_ROWS labelled rows (those of the smallest
-hash of doc_id among the rows with crc32(doc_id) mod 5 <> 0) and MOST_LINES
-lines of them, each line carrying its document's label.  Scoring reads whole
+hash of doc_id among the rows with crc32(doc_id) mod 5 <> 0), in that order up
+to the document that reaches MOST_LINES lines, each line carrying its
+document's label.  Scoring reads whole
 texts of all rows; lang, source, labels and doc_id are no inputs of it.
 
 Defined results: null and empty texts and texts without words score the share
@@ -198,21 +199,23 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Chain:
 
     small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
-    sample = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
+    sample = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS).withColumn("turn", F.xxhash64("doc_id"))
 
     def run(batches):
         for batch in W.batches_of(batches):
             features, _, first = line_features(batch.column("text"))
             cut = [features[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(cut, pa.binary())], ["doc_id", "label", "lines"])
+            yield pa.RecordBatch.from_arrays([batch.column("turn"), batch.column("label"), pa.array(cut, pa.binary())], ["turn", "label", "lines"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").alias("text")).join(F.broadcast(sample), "doc_id")  # MOST_ROWS rows of two numbers
-    rows = chosen.mapInArrow(run, "doc_id long, label int, lines binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["lines"]))
+    rows = chosen.mapInArrow(run, "turn long, label int, lines binary").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["turn"], r["lines"]))
     lines, first, marks, total = [], [0], [], 0
     for r in rows:
         x = np.frombuffer(r["lines"], np.float32).reshape(-1, N_FEATURES)
-        if len(x) and total + len(x) <= MOST_LINES:
+        if total >= MOST_LINES:  # whole documents in the order of their hashes, so none is passed over for its length
+            break
+        if len(x):
             lines.append(x)
             total += len(x)
             first.append(total)
