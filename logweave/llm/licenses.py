@@ -2,12 +2,15 @@
 
 Main path: built-in functions only, and no shuffle of documents.  One pass
 counts in how many documents each template word occurs.  Each template is then
-indexed under its rarest words - as many as it takes to hold more than the
-weight that a match may lack, so every match holds one of them.  A file's rare
-licence words are looked up, postings are intersected by relative position
-(start of the template = position in the file - position in the template), and
-the words at the implied places and the template's mandatory phrases are
-verified.
+indexed under its rarest words - so many that every match holds at least AGREE
+of them (all, if the template has fewer or none may lack).  A file's rare
+licence words are looked up and their postings intersected by relative position
+(start of the template = position in the file - position in the template): a
+start stays if as many postings give it as a match must hold.  There the words
+at the implied places and the template's mandatory phrase are verified.
+
+Templates are whole licence texts, the notices that licences ask authors to
+place, and one-line notices (``licence_texts``).
 
 Defined results: a null or empty text has no words, no places and empty
 labels; repeated rows are scanned each; an empty table gives an empty result;
@@ -16,10 +19,13 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, or_empty, read_table
+from .licence_texts import LICENCES
 
 # The phrases and labels that every scan counts exactly.
 BASE = {
@@ -28,24 +34,8 @@ BASE = {
     "all rights reserved": "reserved",
 }
 
-# Fixed values: (label, template, mandatory phrase). Public licence headers and notices, as words.
-TEMPLATES = [
-    ("apache-2", "licensed under the apache license version 2 0", "apache license"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use"),
-    ("gpl", "this work is licensed under the gnu general public license version", "general public license"),
-    ("lgpl", "gnu lesser general public license", "lesser general public license"),
-    ("agpl", "gnu affero general public license", "affero general public license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "by nc"),
-    ("cc-by-sa", "creative commons attribution sharealike", "creative commons attribution"),
-    ("cc0", "creative commons zero public domain dedication", "public domain"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
-    ("warranty", "the software is provided as is without warranty of any kind", "without warranty of any kind"),
-]
 SHARE = 0.8  # of a template's weight that must stand at its places
+AGREE = 3  # postings that must give one start
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -54,10 +44,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), SEPARATORS), "")
 
 
+def plain_words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
 def templates() -> list[dict]:
     """Base phrases (all words must match) and the method's own templates."""
     out = [{"label": label, "words": phrase.split(), "base": True, "must": phrase.split()} for phrase, label in BASE.items()]
-    out += [{"label": label, "words": text.split(), "base": False, "must": must.split()} for label, text, must in TEMPLATES]
+    out += [{"label": label, "words": plain_words(text), "base": False, "must": must.split()} for label, text, must in LICENCES]
     for t in out:
         n = len(t["must"])
         t["must_at"] = next(i for i in range(len(t["words"])) if t["words"][i : i + n] == t["must"])
@@ -75,9 +69,15 @@ def weigh(found: list[dict], n_docs: int, df: dict[str, int]) -> None:
         t["weights"] = [rarity(n_docs, df.get(w, 0)) for w in t["words"]]
         total = sum(t["weights"])
         t["need"] = total if t["base"] else -int(-total * SHARE // 1)
-        t["anchors"], held = [], 0
-        for i in sorted(range(len(t["words"])), key=lambda i: (-t["weights"][i], t["words"][i], i)):
-            if held > total - t["need"]:
+        lack = total - t["need"]
+        t["anchors"], held, order = [], 0, sorted(range(len(t["words"])), key=lambda i: (-t["weights"][i], t["words"][i], i))
+        for t["agree"] in range(min(AGREE, len(order)) if not t["base"] else len(order), 0, -1):
+            # A match without so many of the anchors would lack the others: more than it may, if they weigh more than lack.
+            most = sum(t["weights"][i] for i in order[: t["agree"] - 1])
+            if total - most > lack:
+                break
+        for i in order:
+            if held - most > lack:
                 break
             t["anchors"].append(i)
             held += t["weights"][i]
@@ -104,24 +104,28 @@ def scan(docs: DataFrame) -> DataFrame:
     rare = sorted(postings)
     one = lambda k, i: F.struct(F.lit(k).alias("t"), F.lit(i).alias("at"))
     listed = F.array(*[F.array(*[one(k, i) for k, i in postings[w]]) for w in rare])
-    rare_words = F.array(*map(F.lit, rare))
-    by_template = lambda name, kind: F.array(*[F.array(*[F.lit(x).cast(kind) for x in t[name]]) for t in known])
+    rare_words = F.split(F.lit(" ".join(rare)), " ")
+    by_template = lambda name, kind: F.array(*[F.split(F.lit(" ".join(map(str, t[name]))), " ").cast(f"array<{kind}>") for t in known])
     of_template = lambda name: F.array(*[F.lit(t[name]) for t in known])
 
     w = F.col("words")
     hits = F.filter(F.transform(w, lambda x, i: F.when(x.isin(rare), i)), lambda i: i.isNotNull())
     found = words.withColumn("hits", hits)
-    starts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "hits",
-                lambda p: F.transform(
-                    F.element_at(listed, F.array_position(rare_words, F.get(w, p)).cast("int")),
-                    lambda e: F.struct(e["t"].alias("t"), (p - e["at"]).alias("start")),
-                ),
-            )
-        )
+    offered = F.transform(
+        "hits",
+        lambda p: F.transform(
+            F.element_at(listed, F.array_position(rare_words, F.get(w, p)).cast("int")),
+            lambda e: F.struct(e["t"].alias("t"), (p - e["at"]).alias("start")),
+        ),
     )
+
+    def intersected(s: Column) -> Column:
+        """Starts that stand as often in the sorted list as the template asks."""
+        enough = lambda x, i: F.get(s, i + F.get(of_template("agree"), x["t"]) - 1).eqNullSafe(x)
+        return F.filter(s, lambda x, i: enough(x, i) & ((i == 0) | ~F.get(s, i - 1).eqNullSafe(x)))
+
+    # Bound as a lambda variable, so that the list isn't computed again for each element.
+    starts = F.get(F.transform(F.array(F.sort_array(F.flatten(offered))), intersected), F.lit(0))
     found = found.withColumn("starts", starts)
     words_by, weights_by, must_by = by_template("words", "string"), by_template("weights", "int"), by_template("must", "string")
     at = lambda p: F.when(p >= 0, F.get(w, p))
