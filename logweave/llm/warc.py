@@ -214,7 +214,7 @@ def _open(path: str, mode: str):
     if mode == "r":
         return system.open_input_file(inner)
     system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(inner)
+    return system.open_output_stream(inner, compression=None)  # the members are packed already
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
