@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy, with the edge cases each states."""
 
 import hashlib
+import html
 import random
 import re
 import zlib
@@ -59,6 +60,45 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    """Each licence is found in a text around it, and with a word in twelve replaced unless that hits its mandatory phrase."""
+    from logweave.llm import licenses
+
+    rng, rows = random.Random(3), []
+    known = [t for t in licenses.templates() if not t["base"]]
+    assert sum(len(t["words"]) > 20 for t in known) >= 20
+    for k, t in enumerate(known):
+        words = [*t["words"]]
+        rows.append((k, sentence(rng, 30) + " " + " ".join(words).upper() + ". " + sentence(rng, 30)))
+        free = [i for i in range(len(words)) if not t["must_at"] <= i < t["must_at"] + len(t["must"])]
+        for i in rng.sample(free, len(words) // 12):
+            words[i] = "replaced"
+        rows.append((1000 + k, " ".join(words)))
+        rows.append((2000 + k, " ".join(words[: len(words) // 2])))
+    found = {r["doc_id"]: r for r in licenses.scan(docs(spark, rows + [(3000, sentence(rng, 2000))])).collect()}
+    assert all(t["label"] in found[k]["labels"].split(",") and found[k]["score"] == 1.0 for k, t in enumerate(known))
+    assert all(t["label"] in found[1000 + k]["labels"].split(",") for k, t in enumerate(known))
+    short = {t["label"] for t in known if len(t["words"]) <= 60}  # one-line notices that stand in the long ones
+    assert not any(t["label"] in found[2000 + k]["labels"].split(",") for k, t in enumerate(known) if t["label"] not in short)
+    assert found[3000]["labels"] == ""
+
+
+def test_every_match_holds_enough_anchors():
+    from logweave.llm import licenses
+
+    rng = random.Random(4)
+    for _ in range(20):
+        known = licenses.templates()
+        licenses.weigh(known, 10**rng.randint(0, 7), {w: int(10 ** rng.uniform(0, 7)) for t in known for w in t["words"]})
+        for t in known:
+            spare = sum(t["weights"]) - t["need"]  # the weight that a match may lack, spent on the lightest anchors
+            left = len(t["anchors"])
+            for i in sorted(t["anchors"], key=lambda i: t["weights"][i]):
+                if t["weights"][i] <= spare:
+                    spare, left = spare - t["weights"][i], left - 1
+            assert left >= t["agree"] >= 1
+
+
 # op2
 
 
@@ -464,6 +504,38 @@ def test_warc_salvage():
     assert list(warc.salvage(io.BytesIO(b""))) == []
 
 
+def test_warc_wrong_lengths_and_many_damages():
+    import io
+    import time
+
+    from logweave.llm import warc
+
+    record = lambda k: warc.page_record(k, "u", b"page %d" % k, hashlib.sha256(b"page %d" % k).hexdigest(), None, False)
+
+    class Counted(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            self.most = max(self.most, len(got))
+            return got
+
+    for length in (b"999999999999", b"5", b"-1", b"x", b"7" * 40):
+        records = [record(k) for k in range(300)]
+        records[0] = re.sub(rb"Content-Length: \d+", b"Content-Length: " + length, records[0])
+        stream = Counted(b"".join(records))
+        found = list(warc.salvage(stream))
+        assert [x[4] for x in found if x[0] == "record"] == [b"page %d" % k for k in range(1, 300)]
+        assert [x[1:3] for x in found if x[0] == "gap"] == [(0, len(records[0]))] and stream.most <= warc.BLOCK
+    spent = []
+    for n in (4000, 16000):  # time grows with the file, not with its square
+        data = b"".join(re.sub(rb"Content-Length: \d+", b"Content-Length: 99999999", record(k)) if k % 2 else record(k) for k in range(n)) + b"WARC/1.0\r\n" * n
+        start = time.process_time()
+        assert sum(x[0] == "record" for x in warc.salvage(io.BytesIO(data))) == n // 2
+        spent.append(time.process_time() - start)
+    assert spent[1] < 10 * spent[0] + 0.5
+
+
 def test_warc_pages(spark, tmp_path):
     from logweave.llm import warc
 
@@ -475,6 +547,10 @@ def test_warc_pages(spark, tmp_path):
     assert len(found) == 7 and {i for i, r in found.items() if r["record_type"] == "revisit"} == {3, None}
     assert found[3]["refers_to"] == 1 and found[3]["payload_bytes"] == len(big.encode()) and found[3]["payload_digest"] == hashlib.sha256(big.encode()).hexdigest()
     assert found[5]["payload_bytes"] == 0
+    import gzip
+
+    texts = [gzip.decompress(f.read_bytes()) for f in tmp_path.glob("w/*.warc.gz")]  # any reader of gzip sees records
+    assert all(t.startswith(b"WARC/1.1\r\n") for t in texts) and sum(t.count(b"WARC-Record-ID") for t in texts) == 7
     empty = warc.write_archives(warc.with_revisits(pages.limit(0)), f"file://{tmp_path}/e")
     assert warc.read_archives(empty, 1).count() == 0
 
@@ -553,12 +629,70 @@ def test_extraction(spark):
     got = {r["page_id"]: r for r in h.extract(spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, text string"), model).collect()}
     assert got[1]["text"] == "Title here\n\nFirst text & more.\n\nSecond text follows here." and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == got[3]["text"] == "" and got[2]["n_chars"] == 0
-    truth = lambda p: "\n\n".join(x for x in (" ".join(re.sub(r"<[^>]+>", " " * ("<br>" in b), b).replace("&amp;", "&").replace("&quot;", '"').split()) for b in re.split(r"</?(?:p|h1|article)>", p[p.index("<article>") : p.index("</article>")])) if x)
+    truth = lambda p: "\n\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]+>", " " * ("<br>" in b), b)).split()) for b in re.split(r"</?(?:p|h1|article)>", p[p.index("<article>") : p.index("</article>")])) if x)
     real_pages = [r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
     texts = h.main_texts([r["html"] for r in real_pages], model)
     assert np.mean([a == truth(r["html"]) for a, r in zip(texts, real_pages)]) > 0.9
 
 
+def prose(rng, lo=12, hi=40):
+    words = "the river ran past old houses where people kept small gardens while children played near a bridge that had stood for many years before rain came over hills".split()
+    return " ".join(rng.choice(words) for _ in range(rng.randint(lo, hi))).capitalize() + "."
+
+
+def layouts(rng):
+    """(name, page, main text) of pages of unlike build, none made by synthetic_page."""
+    title, parts = prose(rng, 4, 8), [prose(rng) for _ in range(6)]
+    links = lambda n: "".join(f'<li><a href="/{k}">{rng.choice(["Home", "News", "About", "Contact", "Archive", "Shop", "Help"])}</a></li>' for k in range(n))
+    comments = "".join(f'<div class="comment"><span class="author">{rng.choice(["Ann", "Bo", "Cy"])}</span><p>{prose(rng)}</p></div>' for _ in range(3))
+    whole = "\n\n".join([title, *parts])
+    yield "semantic", f"<!doctype html><html><head><title>{title}</title></head><body><header><a href=/>Site</a><nav><ul>{links(5)}</ul></nav></header><main><article><h1>{title}</h1>{''.join(f'<p>{p}</p>' for p in parts)}</article></main><aside><h3>Related</h3><ul>{links(4)}</ul></aside><footer>&copy; 2024 Site</footer></body></html>", whole
+    yield "named divs", f'<html><head><title>x</title><body><div id="wrapper"><div class="navbar"><ul>{links(6)}</ul></div><div class="cookie-banner">We use cookies to improve your experience. <button>Accept</button></div><div class="post-content"><h1>{title}</h1>{"".join(f"<p>{p}" for p in parts)}</div><div class="sidebar"><h3>Popular</h3><ul>{links(5)}</ul></div><div class="comments"><h3>Comments</h3>{comments}</div><div class="site-footer"><p>All rights reserved. <a href=/terms>Terms</a></p></div></div>', whole
+    yield "open tags", f"<title>x</title><nav><ul>{links(4).replace('</li>', '')}</ul></nav><article><h1>{title}</h1>{''.join(f'<p>{p}' for p in parts)}</article><footer>Imprint", whole
+    yield "lists and quotes", f"<body><header><h2>The Site</h2></header><main><h1>{title}</h1><p>{parts[0]}<ul><li>{parts[1]}<li>{parts[2]}</ul><blockquote>{parts[3]}</blockquote><div class='ad'>Advertisement. Buy now and save.</div><p>{parts[4]}<p>{parts[5]}</main><form><label>Email</label><input><button>Subscribe</button></form><footer>Contact us</footer>", whole
+    yield "section in wrappers", f'<html><body><div class="page"><div class="container"><div class="menu"><a href=/>Home</a> <a href=/n>News</a> <a href=/a>About</a></div><section class="article-body"><h2>{title}</h2>{"".join(f"<p>{p}</p>" for p in parts[:3])}<aside class="related"><h4>Read more</h4><ul>{links(3)}</ul></aside>{"".join(f"<p>{p}</p>" for p in parts[3:])}</section><section id="comments"><h4>Replies</h4>{comments}</section></div></div><footer>Powered by words</footer></body></html>', whole
+
+
+def test_unlike_layouts():
+    from logweave.llm import html_text as h
+
+    rng, model, right = random.Random(31), h.trained(), defaultdict(list)
+    for _ in range(40):
+        for name, page, want in layouts(rng):
+            right[name].append(h.main_texts([page], model)[0] == want)
+    shares = {name: float(np.mean(x)) for name, x in right.items()}
+    assert len(shares) == 5 and min(shares.values()) >= 0.8, shares
+
+
+def test_deep_and_long_pages():
+    import time
+
+    from logweave.llm import html_text as h
+
+    for piece in ("<div>x", "<b>x", "<div class=a>x</p>", "<svg>", "<p class='x'>y</div>", "</p>", "<li>z", "<!"):
+        spent = []
+        for n in (10_000, 40_000):
+            start = time.process_time()
+            h.blocks(piece * n)
+            spent.append(time.process_time() - start)
+        assert spent[1] < 12 * spent[0] + 0.5, piece  # in proportion to the length, not to its square
+    page = "<article>" + "".join(f"<p>words of block {k} here.</p><div class='ad{k % 7}'>buy now</div>" for k in range(600)) + "</article>"
+    model, cut = h.trained(), h.blocks(page)
+    whole = model.probabilities(*h.padded([h.vectors(cut)]))[0]
+    assert np.allclose(model.long_page(cut, 100), whole, atol=1e-4) and np.allclose(model.long_page(cut, 5000), whole, atol=1e-4)
+
+
+def test_extraction_edges(spark):
+    from logweave.llm import html_text as h
+
+    page = next(p for name, p, _ in layouts(random.Random(1)) if name == "semantic")
+    rows = [(1, "u", page), (1, "u", page), (None, None, page), (2, "u", "<article><p>" + "word " * 300_000)]
+    df = spark.createDataFrame([(*r, "c", "d") for r in rows], "page_id long, url string, html string, text string, n_chars string")
+    got = h.extract(df, h.trained()).collect()
+    assert len(got) == 4 and len({r["text"] for r in got if r["page_id"] != 2}) == 1 and h.extract(df.limit(0), h.trained()).count() == 0
+    assert next(r["n_chars"] for r in got if r["page_id"] == 2) in (0, 1_499_999)
+
+
 # pipeline
 
 
