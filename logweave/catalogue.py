@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import log_queries, relational
+from .plans import families, log_queries, relational
+
+assert families.Q is relational.QUERIES  # families adds to them
 
 QUERIES: dict = {**log_queries.QUERIES, **relational.QUERIES}
 ORACLES: dict[str, str] = {**log_queries.ORACLES, **relational.ORACLES}

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def int_div(a: Column, b: Column) -> Column:
-    """Integer division cut towards zero."""
-    return F.call_function("div", a, b)
-
-
 def concat(*parts: Column) -> Column:
     """concat that skips nulls."""
     return F.concat(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
@@ -88,19 +86,22 @@ def age_months_days(later: Column, earlier: Column) -> Column:
     return F.struct(months.alias("months"), F.datediff(later, F.add_months(earlier, months)).alias("days"))
 
 
-def to_number_or_null(text: Column) -> Column:
-    return text.try_cast("double")
+def erf(x: Column) -> Column:
+    """Error function by its power series near 0 and by 1 - erfc beyond; about 1e-12."""
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.cast("double").alias("t"), x.cast("double").alias("s")), lambda a, n: F.struct((-a["t"] * x * x / n).alias("t"), (a["s"] - a["t"] * x * x / n / (2 * n + 1)).alias("s")), lambda a: a["s"] * 2 / F.sqrt(F.lit(math.pi)))
+    return F.when(F.abs(x) < 2.5, near).otherwise(F.signum(x) * (1 - _erfc_far(F.abs(x))))
 
 
-def half_even(x: Column, digits: int = 0) -> Column:
-    return F.bround(x, digits)
+def erfc(x: Column) -> Column:
+    """1 - erf, exact in its small values."""
+    return F.when(F.abs(x) < 2.5, 1 - erf(x)).when(x > 0, _erfc_far(x)).otherwise(2 - _erfc_far(-x))
 
 
-def erf(x: Column) -> Column:
-    """Error function to 1e-7 by the Abramowitz-Stegun 7.1.26 polynomial, on the JVM."""
-    t = 1 / (1 + 0.3275911 * F.abs(x))
-    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return F.signum(x) * (1 - tail * F.exp(-x * x))
+def _erfc_far(x: Column) -> Column:
+    """The continued fraction x + (1/2)/(x + (2/2)/(x + ...)), for x of 2.5 and more."""
+    x = F.greatest(x.cast("double"), F.lit(2.5))
+    below = F.aggregate(F.reverse(F.sequence(F.lit(1), F.lit(60))), x, lambda a, n: x + n / 2.0 / a)
+    return F.exp(-x * x) / F.sqrt(F.lit(math.pi)) / below
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -143,6 +144,104 @@ def range_intersection(a: Column, b: Column) -> Column:
     return F.when(range_overlaps(a, b), F.struct(F.greatest(a["lo"], b["lo"]).alias("lo"), F.least(a["hi"], b["hi"]).alias("hi")))
 
 
+def range_merge(a: Column, b: Column) -> Column:
+    """The smallest range that holds both; open ends stay open."""
+    lo = F.when(a["lo"].isNotNull() & b["lo"].isNotNull(), F.least(a["lo"], b["lo"]))
+    hi = F.when(a["hi"].isNotNull() & b["hi"].isNotNull(), F.greatest(a["hi"], b["hi"]))
+    return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+
+def range_union(a: Column, b: Column) -> Column:
+    """Both ranges as one, null where a gap lies between them."""
+    return F.when(range_overlaps(a, b) | range_adjacent(a, b), range_merge(a, b))
+
+
+def range_minus(a: Column, b: Column) -> Column:
+    """What of a lies outside b, null if that is nothing; b may not part a in two."""
+    left, right = a["lo"] < b["lo"], b["hi"] < a["hi"]
+    cut = F.when(left & right, F.raise_error(F.lit("the difference is not one range"))).when(left, F.struct(a["lo"].alias("lo"), F.least(a["hi"], b["lo"]).alias("hi"))).when(right, F.struct(F.greatest(a["lo"], b["hi"]).alias("lo"), a["hi"].alias("hi")))
+    return F.when(~range_overlaps(a, b), a).otherwise(cut)
+
+
+# Numbers, dates and texts in patterns
+
+
+def quote_ident(name: Column) -> Column:
+    """A name as it must stand in SQL: quoted unless it is plain."""
+    return F.when(name.rlike("^[a-z_][a-z0-9_$]*\\z"), name).otherwise(F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"')))
+
+
+def quote_literal(text: Column) -> Column:
+    return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
+def quote_nullable(text: Column) -> Column:
+    return F.coalesce(quote_literal(text), F.lit("NULL"))
+
+
+def trunc(x: Column, digits: int = 0) -> Column:
+    """Cut towards zero after so many digits."""
+    scale = F.lit(10.0**digits)
+    return F.when(x < 0, F.ceil(x * scale)).otherwise(F.floor(x * scale)) / scale
+
+
+def half_even(x: Column, digits: int = 0) -> Column:
+    """Rounding of floats: halves to the even neighbour."""
+    return F.bround(x, digits)
+
+
+def initcap(text: Column) -> Column:
+    """First letter of each run of letters and digits in upper case, the rest in lower."""
+    return F.array_join(F.transform(F.split(F.lower(text), "(?<=[^\\p{Alnum}])|(?=[^\\p{Alnum}])"), lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.substr(w, F.lit(2)))), "")
+
+
+# Patterns of to_char and what Spark calls them, longest first.
+DATE_PATTERNS = [("YYYY", "yyyy"), ("MM", "MM"), ("DD", "dd"), ("HH24", "HH"), ("HH12", "hh"), ("MI", "mm"), ("SS", "ss"), ("MS", "SSS"), ("AM", "a"), ("Q", "q"), ("DDD", "DDD")]
+
+
+def date_pattern(pattern: str) -> str:
+    """A to_char pattern as Spark's date_format reads it; other letters stand for themselves."""
+    known = sorted(DATE_PATTERNS, key=lambda p: -len(p[0]))
+    names = dict(known)
+    pieces = re.findall("|".join(re.escape(k) for k, _ in known) + r"|[A-Za-z](?:(?!" + "|".join(re.escape(k) for k, _ in known) + r")[A-Za-z])*|[^A-Za-z]+", pattern)
+    return "".join(names.get(x, f"'{x}'" if x[0].isalpha() else x) for x in pieces)
+
+
+def to_char_date(ts: Column, pattern: str) -> Column:
+    return F.date_format(ts, date_pattern(pattern))
+
+
+def to_date(text: Column, pattern: str) -> Column:
+    return F.to_date(text, date_pattern(pattern))
+
+
+def justify(seconds: Column) -> Column:
+    """Days, hours, minutes and seconds of a number of seconds: months are never made of days."""
+    days = F.floor(seconds / 86400).cast("int")
+    rest = F.pmod(seconds, F.lit(86400))
+    return F.struct(days.alias("days"), F.floor(rest / 3600).cast("int").alias("hours"), F.floor(rest % 3600 / 60).cast("int").alias("minutes"), (rest % 60).cast("int").alias("seconds"))
+
+
+def at_time_zone(ts: Column, zone: str) -> Column:
+    """The local time in a zone of a UTC time without zone."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts)
+
+
+def unaccent(text: Column) -> Column:
+    """Common accented letters without their accents."""
+    return F.translate(text, "àáâãäåèéêëìíîïòóôõöùúûüçñÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÇÑ", "aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN")
+
+
+def scale_of(number: Column) -> Column:
+    """Digits behind the point of a number as text."""
+    return F.coalesce(F.length(F.nullif(F.split_part(number, F.lit("."), F.lit(2)), F.lit(""))), F.lit(0))
+
+
+def trim_scale(number: Column) -> Column:
+    """A number as text without zeros at the end of its fraction."""
+    return F.when(number.contains("."), F.rtrim(F.rtrim(number, F.lit("0")), F.lit("."))).otherwise(number)
+
+
 # Row forms
 
 

@@ -32,15 +32,33 @@ def capture(events: DataFrame) -> DataFrame:
     return rows.groupBy("stmt_id", F.col("relid").alias("partition_id")).agg(F.max("node_lsn").alias("orig_lsn")).withColumn("flags", F.lit(DATA))
 
 
-def numbered(records: DataFrame, high: DataFrame | None = None, order: tuple[str, ...] = ("orig_lsn", "stmt_id")) -> DataFrame:
-    """Records with partition_lsn: each partition goes on after its highest number so far (high: partition_id, max_lsn)."""
-    line = Window.partitionBy("partition_id").orderBy(*order)
-    out = records.withColumn("partition_lsn", F.row_number().over(line).cast("bigint"))
+def numbered(records: DataFrame, high: DataFrame | None = None, order: tuple[str, ...] = ("orig_lsn", "stmt_id"), piece: Column | None = None) -> DataFrame:
+    """Records with partition_lsn: each partition goes on after its highest number so far (high: partition_id, max_lsn).
+
+    piece names a piece of the order (a segment, a range of positions) that
+    rises with it: records are then numbered within pieces and the pieces'
+    counts summed up, so a partition's records need not lie in one task.
+    """
+    if piece is None:
+        out = records.withColumn("partition_lsn", F.row_number().over(Window.partitionBy("partition_id").orderBy(*order)).cast("bigint"))
+    else:
+        cut = records.withColumn("_piece", piece)
+        ahead = Window.partitionBy("partition_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+        counts = cut.groupBy("partition_id", "_piece").agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+        inside = F.row_number().over(Window.partitionBy("partition_id", "_piece").orderBy(*order))
+        out = cut.withColumn("_in", inside).join(counts, ["partition_id", "_piece"]).withColumn("partition_lsn", (F.col("_in") + F.col("_ahead")).cast("bigint"))
+        out = out.select(*records.columns, "partition_lsn")
     if high is None:
         return out
     return out.join(high.select("partition_id", "max_lsn"), "partition_id", "left").withColumn("partition_lsn", F.col("partition_lsn") + F.coalesce("max_lsn", F.lit(0))).drop("max_lsn")
 
 
+def registrations(created: DataFrame, registered: DataFrame) -> DataFrame:
+    """Partitions to register when relations are created (relid, rel_name): those named like a shard that are not registered yet."""
+    named = created.where(is_shard_name(F.col("rel_name"))).select(F.col("relid").alias("partition_id")).distinct()
+    return named.join(registered.select("partition_id"), "partition_id", "left_anti")
+
+
 def explicit_record(requests: DataFrame) -> DataFrame:
     """Records asked for by call: flags are cut to a byte, and null requests give none."""
     return requests.where(F.col("partition_id").isNotNull() & F.col("flags").isNotNull()).withColumn("flags", F.col("flags").bitwiseAND(255)).withColumn("magic", F.lit(MAGIC))

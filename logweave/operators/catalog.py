@@ -78,8 +78,9 @@ class MetadataCache:
 
     def invalidate(self) -> None:
         self.generation += 1
-        for df in self._held.values():
-            df.unpersist()
+        for held in self._held.values():
+            if isinstance(held, DataFrame):
+                held.unpersist()
         self._held.clear()
 
     bump_metadata_version = invalidate
@@ -96,12 +97,55 @@ class MetadataCache:
             self._held["n"].count()
         return self._held["n"]
 
+    def get_primary(self, partition_id: int | None) -> int | None:
+        """The primary node of one partition: a hit if it was asked for in this generation, else a miss; unknown ones are never kept."""
+        return self._look_up("partition", self.partitions, "partition_id", partition_id or 0, lambda r: r["primary_node"] if r["primary_node"] >= 0 else None)
+
+    def get_node(self, node_id: int) -> tuple | None:
+        """(hostname, port, status) of one node, with the same counts."""
+        return self._look_up("node", self.nodes, "node_id", node_id, lambda r: (r["hostname"], r["port"], r["status"] if r["status"] in STATUSES else "active"))
+
+    def _look_up(self, kind: str, rows, key: str, value: int, read):
+        known = self._held.setdefault(f"known {kind}", {})
+        if value in known:
+            self.counters[f"{kind}_hits"] += 1
+            return known[value]
+        self.counters[f"{kind}_misses"] += 1
+        row = rows().where(F.col(key) == value).first()
+        got = None if row is None else read(row)
+        if got is not None:
+            known[value] = got
+        return got
+
+    def route_write(self, partition_id: int | None, local_node_id: int = -1) -> str:
+        """Where one write goes; the batch form is ``routing.route_writes``."""
+        primary = self.get_primary(partition_id)
+        if primary is None:
+            return "not_found"
+        node = self.get_node(primary)
+        if node is not None and node[2] == "down":
+            return "node_down"
+        return "local" if 0 <= local_node_id == primary else "remote"
+
     def stats(self) -> dict:
         return {**self.counters, "metadata_generation": self.generation}
 
 
-def cache_stats(requests: DataFrame, known: DataFrame, key: str = "partition_id") -> DataFrame:
-    """Hits and misses of a list of requests in one generation: a known key's first request misses, an unknown key's all do."""
-    per_key = requests.groupBy(key).agg(F.count("*").alias("n")).join(known.select(key).distinct().withColumn("known", F.lit(True)), key, "left")
-    misses = F.when(F.col("known"), 1).otherwise(F.col("n"))
-    return per_key.agg(F.coalesce(F.sum(F.col("n") - misses), F.lit(0)).alias("partition_hits"), F.coalesce(F.sum(misses), F.lit(0)).alias("partition_misses"))
+def cache_stats(requests: DataFrame, partitions: DataFrame, nodes: DataFrame, generation: int = 0) -> DataFrame:
+    """What the counters show after a list of routing requests in one generation.
+
+    A partition that is known (its primary not negative) misses once, then hits;
+    others miss each time.  Each request of a known partition asks for its node,
+    which is counted in the same way.
+    """
+
+    def counted(asked: DataFrame, key: str, known: DataFrame, kind: str) -> DataFrame:
+        per_key = asked.groupBy(key).agg(F.count("*").alias("n")).join(known.select(key).distinct().withColumn("known", F.lit(True)), key, "left")
+        misses = F.when(F.col("known"), 1).otherwise(F.col("n"))
+        return per_key.agg(F.coalesce(F.sum(F.col("n") - misses), F.lit(0)).alias(f"{kind}_hits"), F.coalesce(F.sum(misses), F.lit(0)).alias(f"{kind}_misses"))
+
+    keyed = requests.select(F.coalesce("partition_id", F.lit(0)).alias("partition_id"))
+    known = partitions.where("primary_node >= 0").select("partition_id", F.col("primary_node").alias("node_id"))
+    asked = keyed.join(known, "partition_id").select("node_id")
+    both = counted(keyed, "partition_id", known, "partition").crossJoin(counted(asked, "node_id", nodes, "node"))
+    return both.withColumn("metadata_generation", F.lit(generation).cast("bigint"))

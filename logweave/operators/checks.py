@@ -72,17 +72,41 @@ def continuity(log: DataFrame) -> DataFrame:
     return facts.select("partition_id", "n_records", "min_lsn", "max_lsn", whole.alias("is_contiguous"), (F.col("max_lsn") - F.col("n_records")).alias("n_missing"))
 
 
-def gaps(log: DataFrame) -> DataFrame:
-    """Missing ranges: partition_id, gap_start, gap_end."""
-    line = Window.partitionBy("partition_id").orderBy("partition_lsn")
-    following = log.select("partition_id", "partition_lsn").distinct().withColumn("next", F.lead("partition_lsn").over(line))
-    return following.where("next - partition_lsn > 1").selectExpr("partition_id", "partition_lsn + 1 AS gap_start", "next - 1 AS gap_end")
+def gaps(log: DataFrame, piece: int = 1 << 20) -> DataFrame:
+    """Missing ranges: partition_id, gap_start, gap_end.
+
+    Numbers are compared within pieces of the number line, and from piece to
+    piece by their first and last numbers alone.
+    """
+    cut = log.select("partition_id", "partition_lsn", F.floor(F.col("partition_lsn") / F.lit(piece)).cast("bigint").alias("piece")).distinct()
+    line = Window.partitionBy("partition_id", "piece").orderBy("partition_lsn")
+    inside = cut.withColumn("next", F.lead("partition_lsn").over(line)).select("partition_id", "partition_lsn", "next")
+    ends = cut.groupBy("partition_id", "piece").agg(F.min("partition_lsn").alias("low"), F.max("partition_lsn").alias("partition_lsn"))
+    between = ends.withColumn("next", F.lead("low").over(Window.partitionBy("partition_id").orderBy("piece"))).select("partition_id", "partition_lsn", "next")
+    return inside.unionByName(between).where("next - partition_lsn > 1").selectExpr("partition_id", "partition_lsn + 1 AS gap_start", "next - 1 AS gap_end")
 
 
 def duplicates(log: DataFrame) -> DataFrame:
     return log.groupBy("partition_id", "partition_lsn").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def last_written(log: DataFrame, partitions: DataFrame, torn: DataFrame) -> DataFrame:
+    """The number that writing goes on from, for each of partitions (dir_partition_id): that of the last record of the highest segment.
+
+    Where that segment has a torn tail (torn: dir_partition_id, segname), the
+    highest number among its valid records; 0 where there are no records.
+    """
+    highest = log.groupBy(KEY).agg(F.max("segname").alias("segname"))
+    rows = log.join(highest, [KEY, "segname"]).join(torn.select(KEY, "segname").distinct().withColumn("torn", F.lit(True)), [KEY, "segname"], "left")
+    facts = rows.groupBy(KEY).agg(
+        F.bool_or(F.coalesce("torn", F.lit(False))).alias("torn"),
+        F.max(F.when(header_ok(), F.col("partition_lsn"))).alias("most"),
+        F.max_by("partition_lsn", "rec_idx").alias("last"),
+    )
+    found = facts.select(KEY, F.when(F.col("torn"), F.col("most")).otherwise(F.col("last")).alias("found"))
+    return partitions.select(KEY).distinct().join(found, KEY, "left").select(KEY, F.coalesce("found", F.lit(0)).alias("last_lsn"))
+
+
 def last_lsn(log: DataFrame) -> DataFrame:
     """The last valid record in physical order; a partial aggregate, no sort."""
     return headers(log).groupBy(KEY).agg(F.max_by("partition_lsn", F.struct("segname", "rec_idx")).alias("last_lsn"))

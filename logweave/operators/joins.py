@@ -31,7 +31,29 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], order: str, va
 
 
 def salted_join(big: DataFrame, other: DataFrame, keys: list[str], salts: int, how: str = "inner") -> DataFrame:
-    """Join in which each key of big is dealt over so many tasks; other is repeated that often."""
-    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    spread = other.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])))
-    return dealt.join(spread, [*keys, "_salt"], how).drop("_salt")
+    """Join in which each key of big is dealt over so many tasks; other is repeated that often.
+
+    Rows are dealt by their number in their task, so equal rows part as well.
+    Modes that give rows of other without a partner are refused, as each copy
+    would be such a row.
+    """
+    if how not in ("inner", "left", "left_outer", "leftouter", "left_semi", "left_anti", "semi", "anti"):
+        raise ValueError(f"salted_join keeps no unmatched rows of the repeated side: {how}")
+    salt = next(f"_salt{i}" for i in range(len(big.columns) + len(other.columns) + 1) if f"_salt{i}" not in {*big.columns, *other.columns})
+    dealt = big.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    spread = other.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return dealt.join(spread, [*keys, salt], how).drop(salt)
+
+
+def hot_keys(big: DataFrame, keys: list[str], share: float = 0.01) -> DataFrame:
+    """The keys that hold at least that share of all rows: no more than 1 / share of them, so they may be broadcast."""
+    counts = big.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = big.agg(F.count("*").alias("_all"))
+    return counts.crossJoin(F.broadcast(total)).where(F.col("_n") >= share * F.col("_all")).select(*keys)
+
+
+def skewed_join(big: DataFrame, other: DataFrame, keys: list[str], salts: int = 16, share: float = 0.01) -> DataFrame:
+    """Inner join that salts only the keys that are seen to be hot; the rest is joined as it is."""
+    hot = F.broadcast(hot_keys(big, keys, share))
+    plain = big.join(hot, keys, "left_anti").join(other.join(hot, keys, "left_anti"), keys)
+    return plain.unionByName(salted_join(big.join(hot, keys, "left_semi"), other.join(hot, keys, "left_semi"), keys, salts))

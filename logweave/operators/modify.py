@@ -44,3 +44,12 @@ def insert_or_nothing(target: DataFrame, source: DataFrame, keys: list[str]) ->
     """ON CONFLICT DO NOTHING: source rows with new keys, one a key, are added."""
     fresh = source.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
+
+
+def changes(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Row changes between two versions of a table: keys, op (I, U or D), old and new value; rows that stayed alike have none."""
+    a, b = old.select(*keys, F.struct(value).alias("_o")), new.select(*keys, F.struct(value).alias("_n"))
+    joined = a.join(b, keys, "full")
+    op = F.when(F.col("_o").isNull(), "I").when(F.col("_n").isNull(), "D").otherwise("U")
+    out = joined.select(*keys, op.alias("op"), F.col(f"_o.{value}").alias("old"), F.col(f"_n.{value}").alias("new"))
+    return out.where(~F.col("old").eqNullSafe(F.col("new")))

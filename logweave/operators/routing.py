@@ -48,6 +48,23 @@ def route_writes(requests: DataFrame, partitions: DataFrame, nodes: DataFrame, l
     return joined.withColumn("route", route).drop("n", "state", "primary_node")
 
 
+SETTING = "logweave.local_node_id"
+
+
+def local_node(spark) -> int:
+    """This node's id from the session's settings, -1 where it isn't set."""
+    return int(spark.conf.get(SETTING, "-1"))
+
+
+def status_text(code: Column) -> Column:
+    """The route of a status number, `unknown` for any other."""
+    names = ("local", "remote", "not_found", "node_down")
+    out = F.lit("unknown")
+    for k, name in reversed(list(enumerate(names))):
+        out = F.when(code == k, name).otherwise(out)
+    return out
+
+
 def rejected(routed: DataFrame) -> DataFrame:
     """Requests that the guard turns away, with the reason."""
     text = F.when(F.col("route") == "remote", F.lit("write to remote partition")).otherwise(F.lit("primary node is down"))

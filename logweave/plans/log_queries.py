@@ -47,7 +47,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (16777216 + F.col("event_id") * 64).alias("orig_lsn"),
         F.when(F.col("event_type") == "error", lsn.SKIP).when(F.col("event_type") == "signup", lsn.CHECKPOINT).otherwise(lsn.DATA).alias("flags"),
     )
-    return capture.numbered(rows, order=("event_id",)).withColumnRenamed("orig_lsn", "orig_node_lsn")
+    return capture.numbered(rows, order=("event_id",), piece=F.expr(f"orig_lsn div {SEGMENT}")).withColumnRenamed("orig_lsn", "orig_node_lsn")
 
 
 def gappy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,10 +225,13 @@ def node_violations(spark, sf_dir):
     return catalog.node_violations(odd).select("node_id", "rule")
 
 
-@query(""", k AS (SELECT partition_id, count(*) AS n, partition_id IN (SELECT partition_id FROM parts) AS known FROM asked GROUP BY ALL)
-SELECT sum(CASE WHEN known THEN n - 1 ELSE 0 END)::BIGINT AS partition_hits, sum(CASE WHEN known THEN 1 ELSE n END)::BIGINT AS partition_misses FROM k""")
+@query(""", good AS (SELECT partition_id, primary_node FROM parts WHERE primary_node >= 0),
+p AS (SELECT partition_id, count(*) AS n, partition_id IN (SELECT partition_id FROM good) AS known FROM asked GROUP BY ALL),
+w AS (SELECT primary_node AS node_id, count(*) AS n, primary_node IN (SELECT node_id FROM nodes) AS known FROM asked JOIN good USING (partition_id) GROUP BY ALL)
+SELECT (SELECT sum(CASE WHEN known THEN n - 1 ELSE 0 END) FROM p)::BIGINT AS partition_hits, (SELECT sum(CASE WHEN known THEN 1 ELSE n END) FROM p)::BIGINT AS partition_misses,
+ (SELECT sum(CASE WHEN known THEN n - 1 ELSE 0 END) FROM w)::BIGINT AS node_hits, (SELECT sum(CASE WHEN known THEN 1 ELSE n END) FROM w)::BIGINT AS node_misses, 0::BIGINT AS metadata_generation""")
 def cache_stats(spark, sf_dir):
-    return catalog.cache_stats(requests(spark, sf_dir), partition_map(spark, sf_dir))
+    return catalog.cache_stats(requests(spark, sf_dir), partition_map(spark, sf_dir), node_map(spark, sf_dir))
 
 
 @query("SELECT event_id // 10 AS stmt_id, 21000 + user_id % 16 AS partition_id, max(16777216 + event_id * 64) AS orig_lsn FROM events WHERE event_type <> 'view' GROUP BY ALL")
@@ -278,10 +281,105 @@ def demux_epochs(spark, sf_dir):
     return demux.with_epochs(rows, "event_id").groupBy("partition_id", "epoch").agg(F.count("*").alias("n"), F.max("partition_lsn").alias("max_lsn"))
 
 
-@query(""", w AS (SELECT partition_id, partition_lsn FROM log WHERE event_id % 3 <> 0) SELECT partition_id, partition_lsn FROM log ANTI JOIN w USING (partition_id, partition_lsn)""")
+@query(""", disk AS (SELECT partition_id, max(partition_lsn) AS last FROM log WHERE partition_lsn <= 20 + partition_id % 7 AND event_id % 3 <> 0 GROUP BY ALL)
+SELECT l.partition_id, l.partition_lsn FROM log l LEFT JOIN disk d USING (partition_id) WHERE l.partition_lsn > coalesce(d.last, 0) AND event_id % 11 <> 5""")
 def wal_redo(spark, sf_dir):
-    rows = log(spark, sf_dir)
-    return demux.replayed(rows, rows.where("event_id % 3 <> 0")).select("partition_id", "partition_lsn")
+    """The log on disk ends early and has holes; some records to replay have a wrong magic."""
+    rows = log(spark, sf_dir).withColumn("magic", F.when(F.col("event_id") % 11 == 5, 1).otherwise(lsn.MAGIC))
+    return demux.replayed(rows, rows.where("partition_lsn <= 20 + partition_id % 7 and event_id % 3 <> 0")).select("partition_id", "partition_lsn")
+
+
+@query(""", x AS (SELECT partition_id, event_id, (partition_lsn - 1) % 40 + 1 AS n, partition_id % 4 = 1 AS on_disk FROM log),
+y AS (SELECT *, coalesce(max(n) OVER (PARTITION BY partition_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x)
+SELECT partition_id, event_id AS arrival, n AS partition_lsn FROM y WHERE n = 1 AND before > 0 AND NOT on_disk""")
+def demux_reset(spark, sf_dir):
+    """Where numbering starts again at 1 after the log was emptied."""
+    rows = log(spark, sf_dir).select("partition_id", F.col("event_id").alias("arrival"), ((F.col("partition_lsn") - 1) % 40 + 1).alias("partition_lsn"), (F.col("partition_id") % 4 == 1).alias("on_disk"))
+    return demux.reset_marks(rows).where("is_reset").select("partition_id", "arrival", "partition_lsn")
+
+
+@query(""", f AS (SELECT 21000 + i AS partition_id, i * 100 AS failed_at, CASE WHEN i % 2 = 0 THEN i * 150 END AS retried_at FROM range(0, 16, 3) t(i))
+SELECT partition_id, event_id AS arrival, CASE WHEN failed_at IS NULL OR event_id < failed_at THEN 'written' WHEN retried_at IS NULL THEN 'stalled' WHEN event_id < retried_at THEN 'written late' ELSE 'written' END AS state FROM log LEFT JOIN f USING (partition_id)""")
+def demux_stall(spark, sf_dir):
+    """A failed write stalls its own partition until a retry."""
+    i = F.col("id")
+    failures = spark.range(0, 16, 3).select((21000 + i).alias("partition_id"), (i * 100).alias("failed_at"), F.when(i % 2 == 0, i * 150).alias("retried_at"))
+    rows = log(spark, sf_dir).select("partition_id", F.col("event_id").alias("arrival"))
+    return demux.stalled(rows, failures).select("partition_id", "arrival", "state")
+
+
+@query(""", x AS (SELECT event_id, event_id % 13 NOT IN (5, 6, 7) AS ok FROM events WHERE event_id % 5 <> 0),
+y AS (SELECT *, sum(ok::INT) OVER (ORDER BY event_id) AS run FROM x)
+SELECT min(event_id) AS gap_start, max(event_id) AS gap_end, count(*) AS n_skipped, 4 AS tries FROM y WHERE NOT ok GROUP BY run""")
+def wal_resync(spark, sf_dir):
+    """Runs of unreadable records that the reader skips."""
+    i = F.col("event_id")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(i.alias("node_lsn"), F.when(i % 5 == 0, 7).otherwise(demux.RMID).alias("rmid"), F.lit(demux.INFO_DATA).alias("info"), F.when((i % 13).isin(5, 6, 7), 1).otherwise(lsn.MAGIC).alias("magic"))
+    return demux.resync(rows)
+
+
+@query(""", c AS (SELECT o_orderkey AS relid, CASE o_custkey % 3 WHEN 0 THEN 'orders_' || (100000 + o_orderkey) ELSE 't_' || (o_orderkey % 90) END AS rel_name FROM orders)
+SELECT relid AS partition_id FROM c WHERE regexp_matches(rel_name, '_[0-9]{4,}$') AND relid NOT IN (SELECT l_orderkey FROM lineitem)""")
+def capture_registrations(spark, sf_dir):
+    """Partitions to register when relations are created."""
+    k = F.col("o_orderkey")
+    name = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("orders_"), 100000 + k)).otherwise(F.concat(F.lit("t_"), k % 90))
+    created = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("relid"), name.alias("rel_name"))
+    return capture.registrations(created, spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("partition_id")))
+
+
+@query("""WITH e AS (SELECT event_id, user_id AS relid, CASE event_id % 4 WHEN 0 THEN 'a_' || (1000 + event_id) ELSE 'a' END AS alias, CASE event_id % 5 WHEN 0 THEN 'r_12345' ELSE 'r_12' END AS rel_name FROM events)
+SELECT event_id FROM e WHERE relid % 7 = 0 OR event_id % 4 = 0 OR event_id % 5 = 0 OR relid % 11 = 3""")
+def capture_filter(spark, sf_dir):
+    """Which changes are logged: registered relations, shard names, and distributed tables on a worker."""
+    i = F.col("event_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").alias("relid"), F.when(i % 4 == 0, F.concat(F.lit("a_"), 1000 + i)).otherwise("a").alias("alias"), F.when(i % 5 == 0, "r_12345").otherwise("r_12").alias("rel_name"))
+    users = events.select("relid").distinct()
+    return capture.logged_relations(events, users.where("relid % 7 = 0").withColumnRenamed("relid", "partition_id"), users.where("relid % 11 = 3"), group_id=1).select("event_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, 1346458196::BIGINT AS magic, (l_partkey % 600) & 255 AS flags FROM lineitem WHERE l_suppkey % 9 <> 0")
+def capture_explicit(spark, sf_dir):
+    """Records asked for by call: flags are cut to a byte, nulls give none."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.when(F.col("l_suppkey") % 9 != 0, F.col("l_orderkey")).alias("partition_id"), (F.col("l_partkey") % 600).alias("flags"))
+    return capture.explicit_record(rows).select("l_orderkey", "l_linenumber", F.col("magic").cast("bigint").alias("magic"), "flags")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN o_custkey % 120 - 1 >= 0 THEN o_custkey % 120 - 1 END AS primary_node,
+ CASE WHEN o_orderkey IS NOT NULL THEN array_to_string(list_transform(range(o_custkey % 3 + 1), lambda i: (o_custkey + i + 1) % 120), ',') END AS secondaries FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey + l_linenumber % 3""")
+def get_entry(spark, sf_dir):
+    found = routing.get_entry(requests(spark, sf_dir), partition_map(spark, sf_dir))
+    return found.select("l_orderkey", "l_linenumber", F.col("primary_node").cast("bigint").alias("primary_node"), F.array_join(F.col("secondary_nodes").cast("array<string>"), ",").alias("secondaries"))
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'local' WHEN 1 THEN 'remote' WHEN 2 THEN 'not_found' WHEN 3 THEN 'node_down' ELSE 'unknown' END AS status, CASE event_id % 3 WHEN 0 THEN 'PARTWAL_DATA' WHEN 1 THEN 'PARTWAL_SKIP' END AS kind FROM events")
+def status_names(spark, sf_dir):
+    i = F.col("event_id")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", routing.status_text(i % 6).alias("status"), lsn.record_kind(i % 3 * 16).alias("kind"))
+
+
+@query("""WITH p AS (SELECT o_orderkey // 2 AS partition_id, nullif(o_custkey % 120, 7) AS primary_node FROM orders)
+SELECT partition_id, CASE WHEN primary_node IS NULL THEN 'not_null' ELSE 'primary_key' END AS rule FROM (SELECT *, count(*) OVER (PARTITION BY partition_id) AS n FROM p) WHERE primary_node IS NULL OR n > 1""")
+def partition_violations(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr("o_orderkey div 2").alias("partition_id"), F.expr("nullif(o_custkey % 120, 7)").alias("primary_node"), F.array().cast("array<int>").alias("secondary_nodes"), F.lit(1).alias("version"))
+    return catalog.partition_violations(rows).select("partition_id", "rule")
+
+
+@query(""", h AS (SELECT dir_partition_id, max(segno) AS segno FROM phys GROUP BY ALL),
+r AS (SELECT p.*, row_number() OVER (PARTITION BY dir_partition_id ORDER BY orig_node_lsn DESC) AS back FROM phys p JOIN h USING (dir_partition_id, segno)),
+f AS (SELECT dir_partition_id, CASE WHEN dir_partition_id % 2 = 0 THEN max(partition_lsn) FILTER (magic = 1346458196 AND partition_id = dir_partition_id) ELSE max(partition_lsn) FILTER (back = 1) END AS last FROM r GROUP BY dir_partition_id)
+SELECT a.p AS dir_partition_id, coalesce(last, 0) AS last_lsn FROM (SELECT unnest(range(21000, 21020)) AS p) a LEFT JOIN f ON dir_partition_id = a.p""")
+def wal_last_written(spark, sf_dir):
+    """Where writing goes on, with torn tails in some partitions and none missing from the result."""
+    rows = physical_log(spark, sf_dir)
+    torn = rows.where("dir_partition_id % 2 = 0").groupBy("dir_partition_id").agg(F.max("segname").alias("segname"))
+    return checks.last_written(rows, spark.range(21000, 21020).select(F.col("id").alias("dir_partition_id")), torn)
+
+
+@query(", r AS (SELECT 1) SELECT flags AS kind, count(*) AS n_records, (count(*) * 32)::BIGINT AS n_bytes, min(orig_node_lsn) AS first_lsn, max(orig_node_lsn) AS last_lsn FROM log GROUP BY ALL")
+def wal_stats(spark, sf_dir):
+    """What the log holds, by kind of record."""
+    return log(spark, sf_dir).groupBy(F.col("flags").alias("kind")).agg(F.count("*").alias("n_records"), (F.count("*") * lsn.RECORD_BYTES).alias("n_bytes"), F.min("orig_node_lsn").alias("first_lsn"), F.max("orig_node_lsn").alias("last_lsn"))
 
 
 @query("""WITH last AS (SELECT event_id, (value * 1000)::BIGINT AS us FROM (SELECT event_id, floor(value) AS value FROM events ORDER BY event_id DESC LIMIT 1024)),
@@ -302,17 +400,9 @@ def version(spark, sf_dir):
     return spark.range(1).select(F.lit(catalog.VERSION).alias("version"))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS shardid, o_custkey % 40 AS logicalrelid FROM orders), p AS (SELECT l_orderkey AS shardid, l_suppkey AS node_id FROM lineitem)
-SELECT logicalrelid, node_id, count(*) AS n FROM s JOIN p USING (shardid) WHERE logicalrelid < 5 GROUP BY ALL""")
-def shard_placement(spark, sf_dir):
-    shards = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("shardid"), (F.col("o_custkey") % 40).alias("logicalrelid"))
-    places = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("shardid"), F.col("l_suppkey").alias("node_id"))
-    return shards.join(places, "shardid").where("logicalrelid < 5").groupBy("logicalrelid", "node_id").agg(F.count("*").alias("n"))
-
-
 @query("""WITH s AS (SELECT o_orderkey AS shardid, o_custkey % 40 AS logicalrelid FROM orders), p AS (SELECT l_orderkey AS shardid, l_suppkey AS node_id FROM lineitem)
 SELECT logicalrelid, node_id, count(*) AS n FROM s JOIN p USING (shardid) GROUP BY ALL""")
-def shard_placement_whole(spark, sf_dir):
+def shard_placement(spark, sf_dir):
     shards = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("shardid"), (F.col("o_custkey") % 40).alias("logicalrelid"))
     places = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("shardid"), F.col("l_suppkey").alias("node_id"))
     return shards.join(places, "shardid").groupBy("logicalrelid", "node_id").agg(F.count("*").alias("n"))

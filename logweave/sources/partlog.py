@@ -35,6 +35,14 @@ def segment_file(orig_node_lsn: int, segment_bytes: int = SEGMENT_BYTES) -> str:
     return f"{1:08X}{number // 256:08X}{number % 256:08X}"
 
 
+def exists(root: str) -> bool:
+    """Whether there is a segment file under root."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(root)
+    return any(f.is_file and re.match(SEGMENT_NAME, f.base_name) for f in system.get_file_info(fs.FileSelector(inner, recursive=True, allow_not_found=True)))
+
+
 # Scans with built-in functions
 
 
@@ -69,6 +77,11 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def torn(spark: SparkSession, root: str) -> DataFrame:
+    """(dir_partition_id, segname) of segments whose last record is cut off, from file lengths alone."""
+    return files(spark, root).where(F.col("length") % RECORD_BYTES != 0).select("dir_partition_id", "segname")
+
+
 def counts(spark: SparkSession, root: str) -> DataFrame:
     """Records of each partition from file lengths alone."""
     return files(spark, root).groupBy("dir_partition_id").agg(F.sum(F.expr(f"length div {RECORD_BYTES}")).alias("n"))
