@@ -250,13 +250,14 @@ def placed_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: i
     of_class = written(one_text(texts).join(classes.select("id", "key", "node"), ["id", "key"]).select("node", "text"), "class-texts")
 
     # The leader of a key is the class that shares keys with most others: copies of one text are nearer to it than to each other.
-    keyed = classes.select("node", "n", F.posexplode("keys").alias("k", "mark"))
+    # Of equals it is the one that came first, as copies follow what they copy.
+    keyed = classes.select("node", "n", F.bitwise_not("id").alias("back"), F.posexplode("keys").alias("k", "mark"))
     shared = written(keyed.groupBy("k", "mark").agg(F.count("*").alias("m")).where("m > 1"), "shared-keys")
     keyed = written(keyed.join(shared, ["k", "mark"]), "keyed")
     liked = keyed.groupBy("node").agg(F.sum("m").alias("liked"))
-    leaders = keyed.join(liked, "node").groupBy("k", "mark").agg(F.max(F.struct("liked", "node", "n")).alias("l"))
+    leaders = keyed.join(liked, "node").groupBy("k", "mark").agg(F.max(F.struct("liked", "back", "node", "n")).alias("l"))
     led = keyed.join(written(leaders, "leaders"), ["k", "mark"])
-    families = led.groupBy("node").agg(F.max(F.struct("l.liked", "l.node"))["node"].alias("grp"))
+    families = led.groupBy("node").agg(F.max(F.struct("l.liked", "l.back", "l.node"))["node"].alias("grp"))
     offered = led.where(f"node <> l.node and 100 * least(n, l.n) >= {percent} * greatest(n, l.n)")
     offered = offered.select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
     links = written(verified(written(offered, "offered"), of_class, width, percent), "verified")
