@@ -19,6 +19,40 @@ HEADLINE = [
 ]
 
 
+def single_calls(spark, sf_dir: str, calls: int = 1000) -> float:
+    """Mean ms of one routing call in sequence with a warm cache: 3 partitions, 2 nodes, local node 1."""
+    from logweave.operators.catalog import MetadataCache
+
+    cache = MetadataCache(lambda: spark.createDataFrame([(700, 1), (800, 2), (900, 1)], "partition_id long, primary_node int"), lambda: spark.createDataFrame([(1, "a", 1, "active"), (2, "b", 2, "active")], "node_id int, hostname string, port int, status string"))
+    for p in (700, 800, 900):
+        cache.route_write(p, 1)
+    start = time.perf_counter()
+    for k in range(calls):
+        cache.route_write((700, 800, 900)[k % 3], 1)
+    return 1000 * (time.perf_counter() - start) / calls
+
+
+def bulk_load_overhead(spark, sf_dir: str) -> float:
+    """Share by which capturing a bulk load's changes lengthens it: lineitem written with its log records, against written alone; median of 3."""
+    from pyspark.sql import functions as F
+
+    from logweave.operators import capture
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+    def load(captured: bool) -> float:
+        start = time.perf_counter()
+        rows.write.format("noop").mode("overwrite").save()
+        if captured:
+            events = rows.select(F.lit(1).alias("stmt_id"), F.lit("COPY").alias("op"), (F.col("l_orderkey") % 16).alias("relid"), F.col("l_orderkey").alias("node_lsn"))
+            capture.capture(events).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    load(True)
+    plain, both = (statistics.median(load(c) for _ in range(3)) for c in (False, True))
+    return both / plain - 1
+
+
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = session(f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.ui.showConsoleProgress": "false"})
@@ -32,7 +66,7 @@ def main() -> None:
             runs.append(time.perf_counter() - start)
         took[name] = round(statistics.median(runs), 3)
     asked = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
-    extra = {"route_ms_a_call": round(1000 * took["route_write"] / max(1, asked), 6)}
+    extra = {"route_ms_a_request_in_a_batch": round(1000 * took["route_write"] / max(1, asked), 6), "route_ms_a_call": round(single_calls(spark, sf_dir), 6), "bulk_load_overhead": round(bulk_load_overhead(spark, sf_dir), 4)}
     spark.stop()
     print(json.dumps({"metric": "sum of medians of 3 runs", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), **extra}))
 

@@ -91,6 +91,6 @@ def copy_from(spark: SparkSession, path: str, schema: str, form: str = "csv") ->
     if form == "binary":
         return spark.read.parquet(path)
     if form == "csv":
-        return spark.read.schema(schema).option("quote", '"').option("escape", '"').option("multiLine", "true").csv(path)
+        return spark.read.schema(schema).option("quote", '"').option("escape", '"').option("multiLine", "true").option("nullValue", "\0").csv(path)
     types = {x.split()[0]: x.split()[1] for x in schema.split(", ")}
     return spark.read.text(path).select(*from_text_line(F.col("value"), types))
