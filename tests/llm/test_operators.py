@@ -145,6 +145,20 @@ def test_quality_held_out_and_edges(spark):
     assert quality.fitted(data.limit(0), labels).prior == 0.5
 
 
+def test_quality_of_odd_texts(spark):
+    from logweave.llm import quality
+
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(3, 0), (None, 1), (4, None)], "doc_id long, quality int")
+    rng = random.Random(14)
+    rows = [(k, "\n".join(sentence(rng, 9).capitalize() + "." for _ in range(4)) if k % 2 else "BUY!!! $$$ now now now\n" * 4) for k in range(60)]
+    model = quality.fitted(docs(spark, rows), labels)
+    odd = [(100, "word " * 300_000), (101, "\n" * 50_000), (102, "x\n" * 50_000), (103, None), (None, rows[1][1])]
+    scores = {r["doc_id"]: r["score"] for r in quality.scored(docs(spark, odd + rows), model).collect()}
+    assert len(scores) == 65 and all(0 <= s <= 1 for s in scores.values()) and scores[101] == scores[103] == model.prior
+    assert np.mean([scores[k] for k in range(1, 60, 2)]) > 0.9 > 0.1 > np.mean([scores[k] for k in range(0, 60, 2)]) and scores[None] == scores[1]
+    assert quality.scored(docs(spark, []), model).count() == 0
+
+
 # op3
 
 
@@ -329,6 +343,22 @@ def test_sharding(spark):
     assert sharding.shard_documents(docs(spark, []), 8, 5).count() == 0
 
 
+def test_sharding_of_odd_rows(spark):
+    """Null and repeated ids, groups larger than one and than several shards, a very long text."""
+    from logweave.llm import sharding
+
+    rng = random.Random(16)
+    rows = [(None, "hot")] * 50 + [(7, "hot")] * 150 + [(7, "warm")] * 60 + [(k, sentence(rng, 3)) for k in range(100)] + [(500, "long " * 400_000), (None, None)]
+    got = sharding.shard_documents(docs(spark, rows), 8, 5).toPandas()
+    sizes = got.groupby("shard").size()
+    assert len(got) == len(rows) and len(sizes) == 8 and sizes.max() - sizes.min() <= 1
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+    spread = got.groupby("text_crc32")["shard"].nunique()
+    mean = len(rows) / 8
+    assert spread[zlib.crc32(b"hot")] <= -(-200 // mean) + 2 and spread[zlib.crc32(b"warm")] <= 4
+    assert got["size"].max() == 2_000_001
+
+
 # op6
 
 
@@ -446,6 +476,39 @@ def test_fingerprints(spark):
     assert f.fingerprint_documents(docs(spark, []), 7).count() == 0
 
 
+def test_fingerprints_of_odd_ids(spark):
+    """Null and repeated ids are ordered by text; one bucket, many buckets and an even spread give the same."""
+    from logweave.llm import fingerprints as f
+
+    rng = random.Random(17)
+    texts = [sentence(rng, 30) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (9, texts[4]), (-3, texts[5])]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(t) // 2
+        want.append((str(i), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    for buckets in (1, 3, 50):
+        got = f.fingerprint_documents(docs(spark, rows), buckets).collect()
+        assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == sorted(want), buckets
+
+
+def test_containment_and_merged_sketches(spark):
+    from logweave.llm import fingerprints as f
+
+    rng = random.Random(18)
+    words = sentence(rng, 3000).split()
+    rows = [(" ".join(words[:600]), " ".join(words)), (" ".join(words), " ".join(words[:600])), ("", " ".join(words)), (" ".join(words[:40]), " ".join(words[:80]))]
+    df = spark.createDataFrame(rows, "a string, b string").select(f.sketch(f.words_of(F.col("a"))).alias("a"), f.sketch(f.words_of(F.col("b"))).alias("b"))
+    got = [r[0] for r in df.select(f.containment(F.col("a"), F.col("b"))).collect()]
+    assert got[0] > 0.8 and 0.1 < got[1] < 0.3 and got[2] == 1.0 and got[3] == 1.0
+    # The sketch of the whole is that of its parts' sketches.
+    parts = [(1, " ".join(words[k : k + 304])) for k in range(0, 3000, 300)]
+    whole = spark.createDataFrame([(" ".join(words),)], "t string").select(f.sketch(f.words_of(F.col("t")))).first()[0]
+    merged = f.merge_sketches(spark.createDataFrame(parts, "k int, t string").select("k", f.sketch(f.words_of(F.col("t"))).alias("h")), "k", "h").first()["h"]
+    assert merged == whole
+
+
 def test_sketches_merge(spark):
     from logweave.llm import fingerprints as f
 
@@ -473,6 +536,7 @@ def test_bpe_as_tiktoken(spark):
         ids = np.array(reference.encode_ordinary(t or ""), "<u4")
         want.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
+    assert bpe.encode_documents(docs(spark, []), content, pattern).count() == 0
 
 
 # op9
