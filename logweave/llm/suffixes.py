@@ -16,10 +16,10 @@ place, by (doc_id, word).
     window that begins o words to the left of its suffix equals those whose
     suffixes share SPAN - o words to the right (an interval of the sorted run)
     and o words to the left (an interval of the run sorted by its left sides).
-    Each repeat is matched with the first place of its words.  Of runs that
-    reach the end of what a task sees, the windows that are the first in sight
-    meet those of other tasks in a grouped minimum over the 128-bit names of
-    their words, and what matched them follows.
+    Each repeat is matched with the first place of its words.  Of intervals
+    that reach the end of what a task sees, the windows that are the first in
+    sight meet those of other tasks in a grouped minimum over the 128-bit names
+    of their words, and what matched them follows.
 
 Documents with equal words form one class (named by 128 bits and its length)
 that is handled once: its first document stays, the others repeat it from end
@@ -181,26 +181,31 @@ def shared_words(sides: list[bytes]) -> np.ndarray:
     return out
 
 
-def matches(right: list[bytes], left: list[bytes], low: np.ndarray, high: np.ndarray, rank: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """For each suffix of sorted whole runs and each o < CHOICE: the suffix with the first equal window o words to the left of it, or -1.
+def matches(right: list[bytes], left: list[bytes], low: np.ndarray, high: np.ndarray, rank: np.ndarray, near: np.ndarray, before: bool = False, after: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the sorted suffixes and each o < CHOICE: the suffix with the first equal window o words to the left of it, or -1, and whether there may be more out of sight.
 
-    near holds the words shared with the suffix before, rank the order of the suffixes' documents and places.
+    near holds the words shared with the suffix before, rank the order of the
+    suffixes' documents and places; before and after say that suffixes lie there
+    unseen.  Equal windows share SPAN - o words to the right, so those of an
+    interval that doesn't reach such an end are all in sight.
     """
     n = len(right)
     order = sorted(range(n), key=left.__getitem__)
     close = shared_words([left[k] for k in order])
-    found = np.full((n, CHOICE), -1, np.int64)
+    found, opened = np.full((n, CHOICE), -1, np.int64), np.zeros((n, CHOICE), bool)
     for o in range(CHOICE):
+        interval = np.cumsum(near < SPAN - o)
+        opened[:, o] = (before & (interval == interval[0])) | (after & (interval == interval[-1]))
         live = np.flatnonzero((low <= o) & (o <= high))
         if len(live) < 2:
             continue
         side = np.empty(n, np.int64)
         side[order] = np.cumsum(close < o) if o else 0
-        both = np.cumsum(near < SPAN - o) * (n + 1) + side
+        both = interval * (n + 1) + side
         by = live[np.lexsort((rank[live], both[live]))]
         new = np.r_[True, both[by[1:]] != both[by[:-1]]]
         found[by, o] = np.where(new, -1, by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))])
-    return found
+    return found, opened
 
 
 CLOSED, OPEN, FIRST = 0, 1, 2  # kinds of rows of ``compared``
@@ -210,9 +215,9 @@ def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MO
     """What tasks find in their sorted suffixes: (kind, id, key, start, n, first_id, first_key, first_start, w1, w2).
 
     CLOSED: n windows from start on equal those from first_start on, which are
-    the first of their words anywhere.  OPEN: the same in a run that goes on in
+    the first of their words anywhere.  OPEN: the same where more may lie in
     another task, so first_start is the first in sight.  FIRST: a window (name
-    w1, w2) that is the first in sight in such a run; n is 1 if others equal it.
+    w1, w2) that is the first in sight there; n is 1 if others equal it.
     """
     import pyarrow as pa
 
@@ -225,50 +230,51 @@ def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MO
         filled = [np.broadcast_to(np.int64(kind), n)] + [pa.nulls(n, pa.int64()) if v is None else v for v in values]
         return pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v, np.ndarray) else v for v in filled], schema=schema)
 
-    def spans(first, ids, keys, at, kind, begin_row, end_row):
+    def spans(kind, first, ids, keys, at):
         """One row for windows side by side that equal windows of one suffix."""
-        part = np.full((end_row - begin_row, CHOICE + 1), -1, np.int64)
-        part[:, :CHOICE] = first[begin_row:end_row]
+        part = np.full((len(first), CHOICE + 1), -1, np.int64)
+        part[:, :CHOICE] = first
         row, o = np.nonzero((part >= 0) & (part != np.c_[np.full(len(part), -1), part[:, :-1]]))
         if not len(row):
             return
         flat = part.ravel()
         change = np.flatnonzero(np.r_[flat[1:] != flat[:-1], True])
         stop = change[np.searchsorted(change, row * (CHOICE + 1) + o)] - row * (CHOICE + 1)  # the last o of the same match
-        to, own = part[row, o], row + begin_row
-        yield rows_of(kind, ids[own], keys[own], at[own] - stop, stop - o + 1, ids[to], keys[to], at[to] - stop, None, None)
+        to = part[row, o]
+        yield rows_of(kind, ids[row], keys[row], at[row] - stop, stop - o + 1, ids[to], keys[to], at[to] - stop, None, None)
 
-    def firsts(first, right, left, low, high, ids, keys, at, begin_row, end_row):
+    def firsts(first, opened, right, left, high, ids, keys, at):
+        """The open windows that equal none before them in sight, by name."""
         met = np.zeros(first.shape, bool)
         row, o = np.nonzero(first >= 0)
         met[first[row, o], o] = True
+        asked = opened & (first < 0)
         rows = []
-        for k in range(begin_row, end_row):
+        for k in np.flatnonzero(asked.any(axis=1)).tolist():
             all_words = left[k][::-1].split(b" ")[1:] + right[k].split(b" ")[:-1]
             middle = int(high[k])
-            for o in range(int(low[k]), middle + 1):
-                if first[k, o] < 0:
-                    name = hashlib.blake2b(b" ".join(all_words[middle - o : middle - o + SPAN]), digest_size=16).digest()
-                    rows.append((k, o, met[k, o], int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)))
-            if rows and (len(rows) > 20_000 or k == end_row - 1):
-                own, o, others, one, two = (np.array(x, np.int64) for x in zip(*rows))
-                yield rows_of(FIRST, ids[own], keys[own], at[own] - o, others, None, None, None, one, two)
+            for o in np.flatnonzero(asked[k]).tolist():
+                name = hashlib.blake2b(b" ".join(all_words[middle - o : middle - o + SPAN]), digest_size=16).digest()
+                rows.append((k, o, met[k, o], int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)))
+            if len(rows) > 20_000:
+                yield rows
                 rows = []
+        if rows:
+            yield rows
 
     def chunk(rows, near, from_start, at_end):
-        """Judge sorted rows: first and last runs are open where rows may lie before or after them."""
+        """Judge sorted rows; more may lie before or after them."""
         right, left, low, high, ids, keys, at = rows
-        n = len(at)
-        heads = np.flatnonzero(np.r_[True, near[1:] < BLOCK])
-        a = (int(heads[1]) if len(heads) > 1 else n) if from_start else 0
-        b = max(a, int(heads[-1])) if at_end else n
-        rank = np.empty(n, np.int64)
-        rank[np.lexsort((at, keys, ids))] = np.arange(n)
-        first = matches(right, left, low, high, rank, near)
-        yield from spans(first, ids, keys, at, CLOSED, a, b)
-        for x, y in ((0, a), (b, n)):
-            yield from spans(first, ids, keys, at, OPEN, x, y)
-            yield from firsts(first, right, left, low, high, ids, keys, at, x, y)
+        rank = np.empty(len(at), np.int64)
+        rank[np.lexsort((at, keys, ids))] = np.arange(len(at))
+        first, opened = matches(right, left, low, high, rank, near, from_start, at_end)
+        o = np.arange(CHOICE)
+        opened &= (low[:, None] <= o) & (o <= high[:, None])
+        yield from spans(CLOSED, np.where(opened, -1, first), ids, keys, at)
+        yield from spans(OPEN, np.where(opened, first, -1), ids, keys, at)
+        for part in firsts(first, opened, right, left, high, ids, keys, at):
+            own, o, others, one, two = (np.array(x, np.int64) for x in zip(*part))
+            yield rows_of(FIRST, ids[own], keys[own], at[own] - o, others, None, None, None, one, two)
 
     def run(batches):
         held, from_start = None, True  # another task may hold the first run's beginning
