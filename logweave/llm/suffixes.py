@@ -19,7 +19,8 @@ place, by (doc_id, word).
     Each repeat is matched with the first place of its words.  Of intervals
     that reach the end of what a task sees, the windows that are the first in
     sight meet those of other tasks in a grouped minimum over the 128-bit names
-    of their words, and what matched them follows.
+    of their words, and what matched them follows: packed by the place in
+    sight, so the join has a row for each such place, not for each copy.
 
 Documents with equal words form one class (named by 128 bits and its length)
 that is handled once: its first document stays, the others repeat it from end
@@ -50,6 +51,8 @@ SPAN, BLOCK = 50, 12
 CHOICE = SPAN - BLOCK + 1  # block places in a window of SPAN words
 LONG_WORD = 64
 PIECE = 64  # windows; more than a suffix has, so that its matches lie in two pieces at most
+MOST_PACKED = 4096  # matches in a row of ``compared``; more go to further rows
+MOST_PAIRS = 1 << 18  # matches and ranges that ``unpacked`` compares at once, or one row's
 CHUNK, MOST_CHUNK = 8192, 65536  # suffixes that a task compares at once, and until when it waits for a run's end
 NO_ID = -(2**63)
 SALT = np.uint64(0xA0761D6478BD642F)
@@ -209,39 +212,48 @@ def matches(right: list[bytes], left: list[bytes], low: np.ndarray, high: np.nda
 
 
 CLOSED, OPEN, FIRST = 0, 1, 2  # kinds of rows of ``compared``
+PACKED = ["ids", "keys", "starts", "sizes", "froms"]
 
 
 def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MOST_CHUNK) -> DataFrame:
-    """What tasks find in their sorted suffixes: (kind, id, key, start, n, first_id, first_key, first_start, w1, w2).
-
-    CLOSED: n windows from start on equal those from first_start on, which are
-    the first of their words anywhere.  OPEN: the same where more may lie in
-    another task, so first_start is the first in sight.  FIRST: a window (name
-    w1, w2) that is the first in sight there; n is 1 if others equal it.
+    """What tasks find in their sorted suffixes: (kind, id, key, start, n, w1, w2 and the lists PACKED).
+
+    CLOSED: matches with one document, whose windows are the first of their
+    words anywhere; sizes windows from starts on in (ids, keys) equal those from
+    froms on in (id, key).  OPEN: the same where more may lie in another task, so
+    (id, key) is the first in sight; froms to the last window lie in one piece,
+    that of start.  FIRST: a window (name w1, w2) that is the first in sight
+    there; n is 1 if others equal it.
     """
     import pyarrow as pa
 
-    numbers = ["kind", "id", "key", "start", "n", "first_id", "first_key", "first_start", "w1", "w2"]
-    schema = pa.schema([(c, pa.int64()) for c in numbers])
+    numbers = ["kind", "id", "key", "start", "n", "w1", "w2"]
+    schema = pa.schema([(c, pa.int64()) for c in numbers] + [(c, pa.list_(pa.int64())) for c in PACKED])
     columns = ["right", "left", "low", "high", "id", "key", "at"]
 
-    def rows_of(kind, *values):
-        n = len(values[0])
-        filled = [np.broadcast_to(np.int64(kind), n)] + [pa.nulls(n, pa.int64()) if v is None else v for v in values]
-        return pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v, np.ndarray) else v for v in filled], schema=schema)
-
     def spans(kind, first, ids, keys, at):
-        """One row for windows side by side that equal windows of one suffix."""
-        part = np.full((len(first), CHOICE + 1), -1, np.int64)
-        part[:, :CHOICE] = first
-        row, o = np.nonzero((part >= 0) & (part != np.c_[np.full(len(part), -1), part[:, :-1]]))
+        """Rows of matches by the suffix they equal, each match windows side by side; those of OPEN rows end at a piece's end."""
+        mark = np.full((len(first), CHOICE + 1), -1, np.int64)
+        place = at[first] - np.arange(CHOICE)
+        before = place // PIECE != at[first] // PIECE if kind == OPEN else 0
+        mark[:, :CHOICE] = np.where(first >= 0, 2 * first + before, -1)
+        row, o = np.nonzero((mark >= 0) & (mark != np.c_[np.full(len(mark), -1), mark[:, :-1]]))
         if not len(row):
             return
-        flat = part.ravel()
+        flat = mark.ravel()
         change = np.flatnonzero(np.r_[flat[1:] != flat[:-1], True])
         stop = change[np.searchsorted(change, row * (CHOICE + 1) + o)] - row * (CHOICE + 1)  # the last o of the same match
-        to = part[row, o]
-        yield rows_of(kind, ids[row], keys[row], at[row] - stop, stop - o + 1, ids[to], keys[to], at[to] - stop, None, None)
+        order = np.argsort(mark[row, o], kind="stable")
+        row, o, stop, same = row[order], o[order], stop[order], mark[row, o][order]
+        to, k = same >> 1, np.arange(len(same))
+        new = np.r_[True, same[1:] != same[:-1]]
+        new |= (k - np.maximum.accumulate(np.where(new, k, 0))) % MOST_PACKED == 0
+        head = np.flatnonzero(new)
+        cuts = pa.array(np.r_[head, len(same)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (ids[row], keys[row], at[row] - stop, stop - o + 1, at[to] - stop)]
+        of, none = to[head], pa.nulls(len(head), pa.int64())
+        rows = [np.full(len(head), kind, np.int64), ids[of], keys[of], (at[to] - stop)[head]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, rows), none, none, none, *lists], schema=schema)
 
     def firsts(first, opened, right, left, high, ids, keys, at):
         """The open windows that equal none before them in sight, by name."""
@@ -274,7 +286,8 @@ def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MO
         yield from spans(OPEN, np.where(opened, first, -1), ids, keys, at)
         for part in firsts(first, opened, right, left, high, ids, keys, at):
             own, o, others, one, two = (np.array(x, np.int64) for x in zip(*part))
-            yield rows_of(FIRST, ids[own], keys[own], at[own] - o, others, None, None, None, one, two)
+            rows = [np.full(len(own), FIRST, np.int64), ids[own], keys[own], at[own] - o, others, one, two]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows), *[pa.nulls(len(own), pa.list_(pa.int64()))] * len(PACKED)], schema=schema)
 
     def run(batches):
         held, from_start = None, True  # another task may hold the first run's beginning
@@ -300,15 +313,54 @@ def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MO
             yield from chunk(held, shared_words(held[0]), from_start, True)
 
     sorted_rows = suffixes.select(*columns).repartitionByRange(parts, "right", "id", "key", "at").sortWithinPartitions("right", "id", "key", "at")
-    return sorted_rows.mapInArrow(run, ", ".join(f"{c} long" for c in numbers))
+    return sorted_rows.mapInArrow(run, ", ".join([f"{c} long" for c in numbers] + [f"{c} array<long>" for c in PACKED]))
+
+
+RANGES = ["r_start", "r_n", "r_id", "r_key", "r_shift"]
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(id, key, start, n, first_id, first_key, first_start) of the matches (id, key, PACKED) that follow the lists RANGES, or equal (id, key) itself where those are null."""
+    import pyarrow as pa
+
+    columns = ["id", "key", "start", "n", "first_id", "first_key", "first_start"]
+
+    def run(batches):
+        for batch in batches:
+            sizes, known = (batch.column(c).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ids", "r_start"))
+            pairs = np.cumsum(sizes * np.maximum(known, 1))
+            k = 0
+            while k < batch.num_rows:
+                upto = max(k + 1, int(np.searchsorted(pairs, (pairs[k - 1] if k else 0) + MOST_PAIRS, "right")))
+                yield from part(batch.slice(k, upto - k), sizes[k:upto], known[k:upto])
+                k = upto
+
+    def part(batch, sizes, known):
+        of = np.repeat(np.arange(len(sizes)), sizes)  # the row of each match
+        times = np.maximum(known, 1)[of]
+        match = np.repeat(np.arange(len(of)), times)
+        of = of[match]
+        ranged = known[of] > 0
+        # Which of its row's ranges each pair has; a last one stands for rows without any.
+        which = np.where(ranged, (np.cumsum(known) - known)[of] + np.arange(len(match)) - np.repeat(np.cumsum(times) - times, times), int(known.sum()))
+        ids, keys, start, n, begin = (batch.column(c).flatten().to_numpy()[match] for c in PACKED)
+        r_start, r_n, r_id, r_key, shift = (np.r_[batch.column(c).flatten().to_numpy().astype(np.int64), 0][which] for c in RANGES)
+        low = np.where(ranged, np.maximum(begin, r_start), begin)
+        high = np.where(ranged, np.minimum(begin + n, r_start + r_n), begin + n)
+        to_id, to_key = (np.where(ranged, r, batch.column(c).to_numpy()[of]) for r, c in ((r_id, "id"), (r_key, "key")))
+        out = [ids, keys, start + low - begin, high - low, to_id, to_key, low - shift]
+        yield pa.RecordBatch.from_arrays([pa.array(x[low < high]) for x in out], columns)
+
+    return rows.select("id", "key", *PACKED, *RANGES).mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
 
 def settled(found: DataFrame) -> DataFrame:
-    """The OPEN and FIRST rows of ``compared`` with the first place anywhere: (id, key, start, n, first_id, first_key, first_start).
+    """The matches of ``compared`` with the first place anywhere: (id, key, start, n, first_id, first_key, first_start).
 
     The windows that are first in sight meet in a minimum by name.  Side by side
     they are ranges again, cut at multiples of PIECE, and the matches in sight
-    follow their first place's ranges, a row each rather than one a window.
+    follow their first place's ranges.  Both are packed by place and piece, so
+    the join has a row for each of those, however many copies equal it.
     """
     lead = found.where(F.col("kind") == FIRST).select("id", "key", "start", "n", "w1", "w2")
     place = F.min(F.struct("id", "key", "start")).alias("e")
@@ -322,13 +374,11 @@ def settled(found: DataFrame) -> DataFrame:
     ranges = written(islands.groupBy(*same, "run").agg(F.min("start").alias("start"), F.count("*").alias("n")).drop("run"), "first-ranges")
     own = ranges.where("id <> first_id or key <> first_key or shift <> 0").select("id", "key", "start", "n", "first_id", "first_key", (F.col("start") - F.col("shift")).alias("first_start"))
 
-    seen = found.where(F.col("kind") == OPEN).select("id", "key", "start", "n", F.col("first_id").alias("l_id"), F.col("first_key").alias("l_key"), F.col("first_start").alias("l_start"))
-    seen = seen.withColumn("piece", F.explode(F.sequence(F.expr(f"l_start div {PIECE}"), F.expr(f"(l_start + n - 1) div {PIECE}"))))
-    at = ranges.select(F.col("id").alias("l_id"), F.col("key").alias("l_key"), "piece", "first_id", "first_key", "shift", F.col("start").alias("r_start"), F.col("n").alias("r_n"))
-    low, high = F.greatest("l_start", "r_start"), F.least(F.col("l_start") + F.col("n"), F.col("r_start") + F.col("r_n"))
-    met = seen.join(at, ["l_id", "l_key", "piece"]).where("r_start < l_start + n and l_start < r_start + r_n")
-    followed = met.select("id", "key", (F.col("start") + low - F.col("l_start")).alias("start"), (high - low).alias("n"), "first_id", "first_key", (low - F.col("shift")).alias("first_start"))
-    return own.unionByName(followed)
+    of_piece = ranges.groupBy("id", "key", "piece").agg(F.collect_list(F.struct(F.col("start").alias("r_start"), F.col("n").alias("r_n"), F.col("first_id").alias("r_id"), F.col("first_key").alias("r_key"), F.col("shift").alias("r_shift"))).alias("r"))
+    seen = found.where(F.col("kind") == OPEN).select("id", "key", F.expr(f"start div {PIECE}").alias("piece"), *PACKED)
+    met = seen.join(of_piece, ["id", "key", "piece"]).select("id", "key", *PACKED, *[F.col("r")[c].alias(c) for c in RANGES])
+    closed = found.where(F.col("kind") == CLOSED).select("id", "key", *PACKED, *[F.lit(None).cast("array<bigint>").alias(c) for c in RANGES])
+    return unpacked(closed.unionByName(met)).unionByName(own)
 
 
 def repeats(docs: DataFrame, parts: int, **chunks: int) -> DataFrame:
@@ -352,8 +402,7 @@ def repeats(docs: DataFrame, parts: int, **chunks: int) -> DataFrame:
     suffixes = written(suffixes_with_words(one_text(texts).join(asked, ["id", "key"]).select("id", "key", "places", "text")), "suffix-words")
 
     found = written(compared(suffixes, parts, **chunks), "matches")
-    closed = found.where(F.col("kind") == CLOSED).select("id", "key", "first_id", "start", "first_start", "n")
-    runs = closed.unionByName(settled(found).select(*closed.columns))
+    runs = settled(found).select("id", "key", "first_id", "start", "first_start", "n")
 
     # Runs of windows that follow each other and equal windows that follow each other are one passage.
     line = Window.partitionBy("id", "key", "first_id", "shift").orderBy("start")

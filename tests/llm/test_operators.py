@@ -218,6 +218,23 @@ def test_runs_cut_anywhere_give_the_same_repeats(spark, least, most):
     assert dict(mine) == brute_repeats(rows, 50)
 
 
+def test_open_matches_are_joined_by_place_not_by_copy(spark, monkeypatch):
+    """Tasks that share a hot passage exchange rows that don't grow with its copies, and no match is lost."""
+    from logweave.llm import suffixes
+
+    rng = random.Random(14)
+    passage = sentence(rng, 60)
+    rows = [(k, f"{sentence(rng, 5)} {passage} {sentence(rng, 5)}") for k in range(300)]
+    settle, joined = suffixes.settled, []
+    monkeypatch.setattr(suffixes, "settled", lambda found: joined.append(found.where(found["kind"] == suffixes.OPEN)) or settle(found))
+    monkeypatch.setattr(suffixes, "MOST_PAIRS", 50)
+    mine = defaultdict(set)
+    for r in suffixes.repeats(docs(spark, rows), 3).collect():
+        mine[r["id"]].update(range(r["start"], r["start"] + r["n_words"]))
+    assert dict(mine) == brute_repeats(rows, 50)
+    assert 0 < joined[0].count() < 40
+
+
 def test_repeats_tell_rows_of_one_id_apart(spark):
     from logweave.llm import suffixes
 
