@@ -22,6 +22,10 @@ place, by (doc_id, word).
     of their words, and what matched them follows: packed by the place in
     sight, so the join has a row for each such place, not for each copy.
 
+Where only the words that repeat are asked for (``without_repeats``), matches
+need no first place: a window that equals one before it in sight repeats, and
+only the first in sight meet those of other tasks.
+
 Documents with equal words form one class (named by 128 bits and its length)
 that is handled once: its first document stays, the others repeat it from end
 to end.  A word of more than LONG_WORD bytes is compared by a 128-bit name and
@@ -211,11 +215,11 @@ def matches(right: list[bytes], left: list[bytes], low: np.ndarray, high: np.nda
     return found, opened
 
 
-CLOSED, OPEN, FIRST = 0, 1, 2  # kinds of rows of ``compared``
+CLOSED, OPEN, FIRST, AGAIN = 0, 1, 2, 3  # kinds of rows of ``compared``
 PACKED = ["ids", "keys", "starts", "sizes", "froms"]
 
 
-def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MOST_CHUNK) -> DataFrame:
+def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MOST_CHUNK, placed: bool = True) -> DataFrame:
     """What tasks find in their sorted suffixes: (kind, id, key, start, n, w1, w2 and the lists PACKED).
 
     CLOSED: matches with one document, whose windows are the first of their
@@ -223,7 +227,9 @@ def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MO
     froms on in (id, key).  OPEN: the same where more may lie in another task, so
     (id, key) is the first in sight; froms to the last window lie in one piece,
     that of start.  FIRST: a window (name w1, w2) that is the first in sight
-    there; n is 1 if others equal it.
+    there; n is 1 if others equal it.  Where the first places are not asked for
+    (not placed), a row AGAIN a document stands for CLOSED and OPEN: sizes
+    windows from starts on in (id, key) equal one before them in sight.
     """
     import pyarrow as pa
 
@@ -255,6 +261,24 @@ def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MO
         rows = [np.full(len(head), kind, np.int64), ids[of], keys[of], (at[to] - stop)[head]]
         yield pa.RecordBatch.from_arrays([*map(pa.array, rows), none, none, none, *lists], schema=schema)
 
+    def again(first, ids, keys, at):
+        """The windows that equal one before them: a row a document, those side by side as one range."""
+        row, o = np.nonzero(first >= 0)
+        if not len(row):
+            return
+        start = at[row] - o
+        order = np.lexsort((start, keys[row], ids[row]))
+        row, start = row[order], start[order]
+        other = np.r_[True, (ids[row[1:]] != ids[row[:-1]]) | (keys[row[1:]] != keys[row[:-1]])]
+        head = np.flatnonzero(other | np.r_[True, start[1:] != start[:-1] + 1])
+        docs = np.flatnonzero(other)
+        cuts = pa.array(np.searchsorted(head, np.r_[docs, len(start)]).astype(np.int32))
+        lists = {"starts": start[head], "sizes": np.diff(np.r_[head, len(start)])}
+        of = row[docs]
+        fixed = {"kind": np.full(len(of), AGAIN, np.int64), "id": ids[of], "key": keys[of]}
+        columns = [pa.ListArray.from_arrays(cuts, pa.array(lists[f.name])) if f.name in lists else pa.array(fixed[f.name]) if f.name in fixed else pa.nulls(len(of), f.type) for f in schema]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
     def firsts(first, opened, right, left, high, ids, keys, at):
         """The open windows that equal none before them in sight, by name."""
         met = np.zeros(first.shape, bool)
@@ -282,8 +306,11 @@ def compared(suffixes: DataFrame, parts: int, least: int = CHUNK, most: int = MO
         first, opened = matches(right, left, low, high, rank, near, from_start, at_end)
         o = np.arange(CHOICE)
         opened &= (low[:, None] <= o) & (o <= high[:, None])
-        yield from spans(CLOSED, np.where(opened, -1, first), ids, keys, at)
-        yield from spans(OPEN, np.where(opened, first, -1), ids, keys, at)
+        if placed:
+            yield from spans(CLOSED, np.where(opened, -1, first), ids, keys, at)
+            yield from spans(OPEN, np.where(opened, first, -1), ids, keys, at)
+        else:
+            yield from again(first, ids, keys, at)
         for part in firsts(first, opened, right, left, high, ids, keys, at):
             own, o, others, one, two = (np.array(x, np.int64) for x in zip(*part))
             rows = [np.full(len(own), FIRST, np.int64), ids[own], keys[own], at[own] - o, others, one, two]
@@ -381,8 +408,8 @@ def settled(found: DataFrame) -> DataFrame:
     return unpacked(closed.unionByName(met)).unionByName(own)
 
 
-def repeats(docs: DataFrame, parts: int, **chunks: int) -> DataFrame:
-    """(id, key, first_id, start, first_start, n_words): runs of words that also stand at an earlier place; key as in ``text_key``."""
+def suffixes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Copies (id, key, first_id, start, first_start, n_words) of whole documents, and the suffixes of all others that may match, with their words."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_key().alias("key"), or_empty("text").alias("text"))
     table = written(retained(texts), "suffixes")
@@ -399,8 +426,12 @@ def repeats(docs: DataFrame, parts: int, **chunks: int) -> DataFrame:
     near = ends.join(written(again, "blocks"), "block", "left_semi")
     places = near.groupBy("s1", "s2").agg(F.collect_set("at").alias("places"))
     asked = places.join(classes.select("s1", "s2", F.col("first_id").alias("id"), F.col("first_key").alias("key")), ["s1", "s2"]).select("id", "key", "places")
-    suffixes = written(suffixes_with_words(one_text(texts).join(asked, ["id", "key"]).select("id", "key", "places", "text")), "suffix-words")
+    return copies, written(suffixes_with_words(one_text(texts).join(asked, ["id", "key"]).select("id", "key", "places", "text")), "suffix-words")
+
 
+def repeats(docs: DataFrame, parts: int, **chunks: int) -> DataFrame:
+    """(id, key, first_id, start, first_start, n_words): runs of words that also stand at an earlier place; key as in ``text_key``."""
+    copies, suffixes = suffixes_of(docs)
     found = written(compared(suffixes, parts, **chunks), "matches")
     runs = settled(found).select("id", "key", "first_id", "start", "first_start", "n")
 
@@ -413,6 +444,25 @@ def repeats(docs: DataFrame, parts: int, **chunks: int) -> DataFrame:
     return spans.select(*copies.columns).unionByName(copies)
 
 
+def repeated_words(docs: DataFrame, parts: int, **chunks: int) -> DataFrame:
+    """(id, key, starts, stops): the words that ``repeats`` reports, a row a document, without their first places.
+
+    A text of a few words over and over repeats a window at each of its words,
+    each at another distance to its first place; here they are one range.
+    """
+    copies, suffixes = suffixes_of(docs)
+    found = written(compared(suffixes, parts, placed=False, **chunks), "matches")
+    lead = found.where(F.col("kind") == FIRST).select("w1", "w2", F.struct("id", "key", "start").alias("place"))
+    earliest = lead.groupBy("w1", "w2").agg(F.min("place").alias("e"), F.count("*").alias("times")).where("times > 1")
+    later = lead.join(written(earliest.select("w1", "w2", "e"), "earliest"), ["w1", "w2"]).where("place <> e")
+    later = later.select("place.id", "place.key", F.array("place.start").alias("starts"), F.array(F.lit(1).cast("long")).alias("sizes"))
+    ranges = found.where(F.col("kind") == AGAIN).select("id", "key", "starts", "sizes").unionByName(later)
+    ranges = ranges.select("id", "key", "starts", F.zip_with("starts", "sizes", lambda start, n: start + n + (SPAN - 1)).alias("stops"))
+    ranges = ranges.unionByName(copies.select("id", "key", F.array("start").alias("starts"), F.array("n_words").alias("stops")))
+    spans = ranges.groupBy("id", "key").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "stops"))).alias("spans"))
+    return spans.select("id", "key", F.col("spans.starts").alias("starts"), F.col("spans.stops").alias("stops"))
+
+
 def without_repeats(docs: DataFrame, parts: int) -> DataFrame:
     """The documents, all their columns, with repeats cut out of text; those of which nothing is left go.
 
@@ -421,12 +471,7 @@ def without_repeats(docs: DataFrame, parts: int) -> DataFrame:
     """
     spark, kind = docs.sparkSession, docs.schema
 
-    def found():
-        span = F.struct("start", (F.col("start") + F.col("n_words")).alias("stop"))
-        spans = repeats(docs.select("doc_id", "text"), parts).groupBy("id", "key").agg(F.sort_array(F.collect_set(span)).alias("spans"))
-        return spans.select("id", "key", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
-
-    spans = finished(spark, "spans", found)
+    spans = finished(spark, "spans", lambda: repeated_words(docs.select("doc_id", "text"), parts))
     small_batches(spark)
     packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_key().alias("key"))
     # One pass over all rows: their texts are shuffled once, and lie in row alone.
