@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 _LIVE: list[str] = []  # folders of scratch_path that have not been dropped
+CLEAN_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20  # of an Arrow batch, unless one row has more
 
@@ -60,11 +61,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
     This cuts lineage in a way that survives lost executors and makes the rows
-    of non-repeatable steps final.
+    of non-repeatable steps final.  The shuffle files of the step go when it
+    ends; Spark by itself waits for the driver's garbage to be collected.
     """
-    path = scratch_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, what), spark.conf.get(CLEAN_SETTING, "false")
+    spark.conf.set(CLEAN_SETTING, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SETTING, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

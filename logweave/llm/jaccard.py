@@ -17,7 +17,8 @@ that fills blocks of a group by itself doesn't meet its own.  The order steers
 cost only, and leaders supply links that were tested: no link is lost.
 
 Classes are named by 128 bits and their size, and numbered once they are
-written.
+written.  Their texts are shuffled only where pairs are tested, and of those
+few others than the pairs' own; what a step wrote on the way goes when it ends.
 
 Defined results: null, empty and word-less texts have size 0 and are linked
 with nothing; fewer words than four are one shingle; repeated rows are each
@@ -42,6 +43,7 @@ LAP = 2  # tokens that prefixes must share
 SAMPLE, FREQUENT, MOST_FREQUENT = 32, 3, 1 << 21  # 1 of 32 documents; that often there; 16 MB of hashes at most
 BITS = 1024  # of a parity sketch
 LONG = BITS // 2  # sets from that size on have counts too
+SLOTS = 1 << 21  # by which texts are told from those of pairs; so many numbers are broadcast at most, 16 MB
 PER_BLOCK = 256  # members or queries, on average
 NO_ID = -(2**63)
 
@@ -106,9 +108,16 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs of classes (a, b) whose sets pass the exact test; texts holds each class's (node, text)."""
+    """Those pairs of classes (a, b) whose sets pass the exact test; texts holds each class's (node, text).
+
+    Texts are told apart by a hash of their class before they are shuffled, so
+    those in no pair stay where they are, but for some that share a slot.
+    """
     import pyarrow as pa
 
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = written(pairs.select(F.explode(F.array(slot("a"), slot("b"))).alias("slot")).distinct(), "slots")
+    texts = written(texts.withColumn("slot", slot("node")).join(F.broadcast(slots), "slot", "left_semi").drop("slot"), "pair-texts")
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), "text"), "a")
 
@@ -139,15 +148,15 @@ def frequent_tokens(docs: DataFrame, width: int) -> np.ndarray:
 
     some = docs.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("text")
     counts = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    got = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy()
+    got = written(counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token"), "frequent-tokens").toArrow().column("token").to_numpy()
     return np.sort(got.view(np.uint64))
 
 
-def prefixes(nodes: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(token, grp, comp, node, n) for the prefix tokens of every class (id, node, grp, comp, text)."""
+def prefixes(texts: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(token, node, n) for the prefix tokens of every class (node, text)."""
     import pyarrow as pa
 
-    shared = nodes.sparkSession.sparkContext.broadcast(frequent)  # at most 16 MB, see MOST_FREQUENT
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)  # at most 16 MB, see MOST_FREQUENT
 
     def run(batches):
         late = shared.value
@@ -161,22 +170,24 @@ def prefixes(nodes: DataFrame, width: int, percent: int, frequent: np.ndarray) -
                 tokens.append(first)
                 of.append(np.full(len(first), k))
             of = np.concatenate(of)
-            pick = lambda name: batch.column(name).take(pa.array(of))
             sizes = np.array([len(s) for s in sets])[of]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pick("grp"), pick("comp"), pick("node"), pa.array(sizes, pa.int32())], ["token", "grp", "comp", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), batch.column("node").take(pa.array(of)), pa.array(sizes, pa.int32())], ["token", "node", "n"])
 
-    return nodes.select("node", "grp", "comp", "text").mapInArrow(run, "token long, grp long, comp long, node long, n int")
+    return texts.select("node", "text").mapInArrow(run, "token long, node long, n int")
 
 
-def qualifying(matrix: DataFrame, percent: int) -> DataFrame:
+def qualifying(matrix: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(node, grp) where the class shares LAP prefix tokens with the union of a group that holds a fitting size and a class not linked to it yet.
 
     Groups are summed up by token before they meet the queries, so a token that
     very many classes of one group share is a single row on that side, and the
-    other side can be split.
+    other side can be split.  Tokens of one class, most of all, go before rows
+    get their group and component.
     """
-    live = matrix.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-    rows = written(matrix.join(written(live, "live-tokens"), "token", "left_semi"), "live-matrix")
+    shared = lambda rows, by: rows.groupBy("token").agg(F.min(by).alias("a"), F.max(by).alias("b")).where("a <> b").select("token")
+    several = matrix.join(written(shared(matrix, "node"), "shared-tokens"), "token", "left_semi")
+    several = written(several.join(nodes.select("node", "grp", "comp"), "node"), "shared-matrix")
+    rows = written(several.join(written(shared(several, "comp"), "live-tokens"), "token", "left_semi"), "live-matrix")
     union = rows.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"))
     met = rows.drop("grp").join(written(union, "unions"), "token")
     met = met.where(f"100 * high >= {percent} * n and 100 * n >= {percent} * low and (first <> comp or last <> comp)")
@@ -241,7 +252,8 @@ def opened_pairs(queries: DataFrame, members: DataFrame, percent: int, parts: in
 
 def placed_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """id, key, n, first_id and first_key of every document (doc_id, text): the first row of its component, itself where it is linked with nothing."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_key().alias("key"), or_empty("text").alias("text"))
     all_docs = written(summaries(texts, width), "sets")
     name = ["s1", "s2", "n"]
@@ -260,17 +272,24 @@ def placed_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: i
     families = led.groupBy("node").agg(F.max(F.struct("l.liked", "l.back", "l.node"))["node"].alias("grp"))
     offered = led.where(f"node <> l.node and 100 * least(n, l.n) >= {percent} * greatest(n, l.n)")
     offered = offered.select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(verified(written(offered, "offered"), of_class, width, percent), "verified")
-    groups = written(components(links), "groups")
+    links = finished(spark, "verified", lambda: verified(written(offered, "offered"), of_class, width, percent))
+    groups = finished(spark, "groups", lambda: components(links))
 
     nodes = classes.select("node", "n", "bits", "counts").join(groups, "node", "left").join(families, "node", "left")
     nodes = written(nodes.select("node", F.coalesce("component", "node").alias("comp"), F.coalesce("grp", "node").alias("grp"), "n", "bits", "counts"), "nodes")
-    matrix = written(prefixes(of_class.join(nodes.select("node", "comp", "grp"), "node"), width, percent, frequent_tokens(of_class, width)), "matrix")
-    asked = written(qualifying(matrix, percent).join(nodes.select(*COLUMNS), "node").select("grp", *COLUMNS), "asked")
-    of_asked = nodes.join(written(asked.select("grp").distinct(), "asked-groups"), "grp", "left_semi").select("grp", *COLUMNS)
-    more = verified(written(opened_pairs(asked, of_asked, percent, parts), "opened"), of_class, width, percent)
 
-    linked = written(components(written(links.unionByName(more), "all-links")), "components")
+    def asking():
+        matrix = written(prefixes(of_class, width, percent, frequent_tokens(of_class, width)), "matrix")
+        return qualifying(matrix, nodes, percent).join(nodes.select(*COLUMNS), "node").select("grp", *COLUMNS)
+
+    asked = finished(spark, "asked", asking)
+
+    def linking():
+        of_asked = nodes.join(written(asked.select("grp").distinct(), "asked-groups"), "grp", "left_semi").select("grp", *COLUMNS)
+        more = verified(written(opened_pairs(asked, of_asked, percent, parts), "opened"), of_class, width, percent)
+        return components(written(links.unionByName(more), "all-links"))
+
+    linked = finished(spark, "components", linking)
     first = linked.join(classes.select("node", "id", "key"), "node").groupBy("component").agg(F.min(F.struct("id", "key")).alias("first"))
     of_node = classes.select("node", *name, F.struct("id", "key").alias("own")).join(linked, "node", "left").join(written(first, "firsts"), "component", "left")
     of_node = written(of_node.select(*name, F.coalesce("first", "own").alias("first")), "class-components")

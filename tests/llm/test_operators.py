@@ -492,6 +492,47 @@ def test_jaccard_tells_rows_of_one_id_apart(spark):
     assert sorted((r["doc_id"], r["text"]) for r in twice.collect()) == [(1, a), (2, b)]
 
 
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    """The disk that a run takes is that of its largest step, not of all until garbage is collected."""
+    import os
+    import time
+
+    from logweave.llm import common
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {x for top in dirs for _, _, names in os.walk(top) for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+    before, setting = shuffled(), spark.conf.get(common.CLEAN_SETTING, "false")
+    rows = spark.range(20_000).repartition(7).groupBy((F.col("id") % 5000).alias("k")).agg(F.count("*").alias("n"))
+    assert common.written(rows, "counts").agg(F.sum("n")).first()[0] == 20_000
+    assert spark.conf.get(common.CLEAN_SETTING, "false") == setting
+    # The sum's own shuffle, a row a task, may stay.
+    ended = time.time() + 5
+    while len({x.split("_")[1] for x in shuffled() - before}) > 1 and time.time() < ended:
+        time.sleep(0.1)
+    assert len({x.split("_")[1] for x in shuffled() - before}) <= 1
+
+
+def test_jaccard_frees_tables_and_shuffles_texts_of_pairs_only(spark, monkeypatch):
+    from logweave.llm import common, jaccard
+
+    rng = random.Random(17)
+    rows = [(k, sentence(rng, 60)) for k in range(300)] + [(1000 + k, " ".join(sentence(random.Random(k), 60).split()[:58])) for k in range(4)] + [(2000 + k, sentence(random.Random(k), 60)) for k in range(4)]
+    steps, write = {}, jaccard.written
+
+    def noted(df, what):
+        out = write(df, what)
+        live = [path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in common._LIVE]
+        steps.setdefault(what, []).append((out.count(), live))
+        return out
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(docs(spark, rows), 3).collect()}
+    assert got == brute_components(rows, 4, 85) and got[2001][1] == 1001
+    assert steps["class-texts"][0][0] == 308 and max(n for n, _ in steps["pair-texts"]) < 40
+    assert {"matrix", "live-matrix", "unions"} <= set(steps) and not {"matrix", "shared-matrix", "live-matrix", "unions"} & set(steps["opened"][0][1])
+    assert "pair-texts" not in steps["matrix"][0][1]
+
+
 def test_jaccard_on_documents(spark):
     from logweave.llm import jaccard
 
