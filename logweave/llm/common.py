@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,21 +57,25 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame | Iterable[DataFrame], what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
     This cuts lineage in a way that survives lost executors and makes the rows
     of non-repeatable steps final.  The shuffle files of the step go when it
     ends; Spark by itself waits for the driver's garbage to be collected.
+    Several frames are written one after another into one table, so the shuffle
+    files of one are gone when the next begins.
     """
-    spark = df.sparkSession
-    path, before = scratch_path(spark, what), spark.conf.get(CLEAN_SETTING, "false")
-    spark.conf.set(CLEAN_SETTING, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEAN_SETTING, before)
-    return spark.read.schema(df.schema).parquet(path)
+    path = None
+    for part in [df] if isinstance(df, DataFrame) else df:
+        spark, schema = part.sparkSession, part.schema
+        path, before = path or scratch_path(spark, what), spark.conf.get(CLEAN_SETTING, "false")
+        spark.conf.set(CLEAN_SETTING, "true")
+        try:
+            part.write.mode("append").option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.set(CLEAN_SETTING, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

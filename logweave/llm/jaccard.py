@@ -19,6 +19,7 @@ cost only, and leaders supply links that were tested: no link is lost.
 Classes are named by 128 bits and their size, and numbered once they are
 written.  Their texts are shuffled only where pairs are tested, and of those
 few others than the pairs' own; what a step wrote on the way goes when it ends.
+Where all texts or all tokens must be shuffled, they are in SLICES, one after another.
 
 Defined results: null, empty and word-less texts have size 0 and are linked
 with nothing; fewer words than four are one shingle; repeated rows are each
@@ -30,7 +31,7 @@ others; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -44,6 +45,7 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 32, 3, 1 << 21  # 1 of 32 documents; that ofte
 BITS = 1024  # of a parity sketch
 LONG = BITS // 2  # sets from that size on have counts too
 SLOTS = 1 << 21  # by which texts are told from those of pairs; so many numbers are broadcast at most, 16 MB
+SLICES = 4  # of the texts and of the tokens, shuffled one after another: the disk holds one slice's shuffle files at a time
 PER_BLOCK = 256  # members or queries, on average
 NO_ID = -(2**63)
 
@@ -176,18 +178,36 @@ def prefixes(texts: DataFrame, width: int, percent: int, frequent: np.ndarray) -
     return texts.select("node", "text").mapInArrow(run, "token long, node long, n int")
 
 
-def qualifying(matrix: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def in_slice(k: int, *columns: str) -> Column:
+    """Rows of the slice k of SLICES, all that are equal in the columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SLICES)) == k
+
+
+def shared_by(rows: DataFrame, by: str) -> DataFrame:
+    """The tokens that stand with several values of by."""
+    return rows.groupBy("token").agg(F.min(by).alias("a"), F.max(by).alias("b")).where("a <> b").select("token")
+
+
+def several_classes(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (token, node, n, grp, comp) of the matrix whose token stands in several classes: few, found slice by slice of the tokens."""
+
+    def slices():
+        for k in range(SLICES):
+            rows = matrix.where(in_slice(k, "token"))
+            several = rows.join(written(shared_by(rows, "node"), "shared-tokens"), "token", "left_semi")
+            yield several.join(nodes.select("node", "grp", "comp"), "node")
+
+    return written(slices(), "shared-slices")
+
+
+def qualifying(several: DataFrame, percent: int) -> DataFrame:
     """(node, grp) where the class shares LAP prefix tokens with the union of a group that holds a fitting size and a class not linked to it yet.
 
-    Groups are summed up by token before they meet the queries, so a token that
-    very many classes of one group share is a single row on that side, and the
-    other side can be split.  Tokens of one class, most of all, go before rows
-    get their group and component.
+    Takes the rows of ``several_classes``.  Groups are summed up by token before
+    they meet the queries, so a token that very many classes of one group share
+    is a single row on that side, and the other side can be split.
     """
-    shared = lambda rows, by: rows.groupBy("token").agg(F.min(by).alias("a"), F.max(by).alias("b")).where("a <> b").select("token")
-    several = matrix.join(written(shared(matrix, "node"), "shared-tokens"), "token", "left_semi")
-    several = written(several.join(nodes.select("node", "grp", "comp"), "node"), "shared-matrix")
-    rows = written(several.join(written(shared(several, "comp"), "live-tokens"), "token", "left_semi"), "live-matrix")
+    rows = written(several.join(written(shared_by(several, "comp"), "live-tokens"), "token", "left_semi"), "live-matrix")
     union = rows.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"))
     met = rows.drop("grp").join(written(union, "unions"), "token")
     met = met.where(f"100 * high >= {percent} * n and 100 * n >= {percent} * low and (first <> comp or last <> comp)")
@@ -259,7 +279,8 @@ def placed_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: i
     name = ["s1", "s2", "n"]
     classes = all_docs.where("n > 0").groupBy(*name).agg(F.min(F.struct("id", "key")).alias("f"), *[F.first(c).alias(c) for c in ("keys", "bits", "counts")])
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), *name, "f.id", "f.key", "keys", "bits", "counts"), "classes")
-    of_class = written(one_text(texts).join(classes.select("id", "key", "node"), ["id", "key"]).select("node", "text"), "class-texts")
+    own = lambda k: classes.where(in_slice(k, "id", "key")).select("id", "key", "node")
+    of_class = written((one_text(texts.where(in_slice(k, "id", "key"))).join(own(k), ["id", "key"]).select("node", "text") for k in range(SLICES)), "class-texts")
 
     # The leader of a key is the class that shares keys with most others: copies of one text are nearer to it than to each other.
     # Of equals it is the one that came first, as copies follow what they copy.
@@ -279,8 +300,9 @@ def placed_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: i
     nodes = written(nodes.select("node", F.coalesce("component", "node").alias("comp"), F.coalesce("grp", "node").alias("grp"), "n", "bits", "counts"), "nodes")
 
     def asking():
-        matrix = written(prefixes(of_class, width, percent, frequent_tokens(of_class, width)), "matrix")
-        return qualifying(matrix, nodes, percent).join(nodes.select(*COLUMNS), "node").select("grp", *COLUMNS)
+        matrix = lambda: written(prefixes(of_class, width, percent, frequent_tokens(of_class, width)), "matrix")
+        several = finished(spark, "shared-matrix", lambda: several_classes(matrix(), nodes))  # the matrix, mostly tokens of one class, goes
+        return qualifying(several, percent).join(nodes.select(*COLUMNS), "node").select("grp", *COLUMNS)
 
     asked = finished(spark, "asked", asking)
 

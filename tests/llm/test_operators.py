@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -533,6 +534,32 @@ def test_jaccard_frees_tables_and_shuffles_texts_of_pairs_only(spark, monkeypatc
     assert "pair-texts" not in steps["matrix"][0][1]
 
 
+def test_jaccard_shuffles_texts_and_tokens_in_slices(spark, monkeypatch):
+    """No step shuffles all texts or the whole matrix, whose rows are gone before groups are asked."""
+    from logweave.llm import common, jaccard
+
+    rng = random.Random(18)
+    rows = [(k, sentence(rng, 60)) for k in range(300)] + [(1000 + k, sentence(random.Random(k), 60) + f" end{k}") for k in range(8)] + [(2000 + k, sentence(random.Random(k % 4), 60)) for k in range(8)]
+    counts, live, write = {}, {}, jaccard.written
+
+    def noted(df, what):
+        def parts():
+            for part in [df] if isinstance(df, DataFrame) else df:
+                counts.setdefault(what, []).append(part.count())
+                yield part
+
+        out = write(parts(), what)
+        live.setdefault(what, [path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in common._LIVE])
+        return out
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(docs(spark, rows), 3).collect()}
+    assert got == brute_components(rows, 4, 85) and got[2001][1] == got[2005][1] == 1001
+    assert sum(counts["class-texts"]) == 312 and max(counts["class-texts"]) < 0.4 * 312
+    assert len(counts["shared-tokens"]) == len(counts["shared-slices"]) > 1 and max(counts["shared-tokens"]) < 0.6 * sum(counts["shared-tokens"])
+    assert "matrix" in live["matrix"] and not {"matrix", "shared-tokens", "shared-slices"} & set(live["unions"])
+
+
 def test_jaccard_on_documents(spark):
     from logweave.llm import jaccard
 
