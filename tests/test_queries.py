@@ -83,3 +83,18 @@ def test_no_query_is_cut_by_id():
 
     capped = {n for n, text in catalogue.ORACLES.items() if re.search(r"\bLIMIT\b|_(?:id|key|suppkey|custkey)\s*<\s*\d", text)}
     assert capped <= {"top_k", "demux_latency", "join_lateral", "agg_mode"}, capped
+
+
+def test_lateral_limit_is_ordered(spark, tmp_path):
+    """Nulls among prices and keys come last as in the SQL, and the window that numbers a customer's orders has their order."""
+    c = duckdb.connect()
+    c.execute("CREATE TABLE customer AS SELECT i AS c_custkey FROM range(5) t(i)")
+    c.execute("CREATE TABLE orders AS SELECT * FROM (VALUES (NULL, 1, 9.5), (7, 1, 9.5), (3, 1, 9.5), (4, 2, NULL), (5, 2, 1.5), (NULL, 3, 2.0), (8, 3, 2.0), (6, NULL, 8.0), (9, 4, NULL), (2, 4, NULL), (1, 4, NULL)) t(o_orderkey, o_custkey, o_totalprice)")
+    for t, cast in (("customer", "c_custkey::BIGINT AS c_custkey"), ("orders", "o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey, o_totalprice::DOUBLE AS o_totalprice")):
+        c.execute(f"COPY (SELECT {cast} FROM {t}) TO '{tmp_path}/{t}.parquet'")
+    got = catalogue.QUERIES["join_lateral"](spark, str(tmp_path))
+    assert plain(got.toPandas()) == plain(c.execute(catalogue.ORACLES["join_lateral"]).df())
+    import re
+
+    windows = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)", got._jdf.queryExecution().executedPlan().toString())
+    assert windows and all("o_totalprice" in w and "o_orderkey" in w for w in windows), windows
