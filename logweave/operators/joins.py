@@ -6,15 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def range_join(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: int) -> DataFrame:
+def range_join(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, width: int, salts: int = 16) -> DataFrame:
     """Rows of points with the ranges that hold them (both ends included), as an equi-join on buckets of the given width.
 
-    A range is repeated once for each bucket it touches; choose width near the
-    ranges' usual length.
+    Rows of ranges with equal ends are packed, by their number in their task
+    into so many rows at most; points meet the packs' ends first, so only true
+    pairs are laid out, and those of one range in several tasks.  A pack is
+    repeated once for each bucket it touches; choose width near the ranges'
+    usual length.
     """
     bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
-    spread = ranges.where(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    return points.withColumn("_bucket", bucket(point)).join(spread, "_bucket").where(F.col(point).between(F.col(low), F.col(high))).drop("_bucket")
+    ends, others = ["_low", "_high", "_pack"], [c for c in ranges.columns if c not in (low, high)]
+    held = ranges.where(F.col(low) <= F.col(high)).withColumns({"_low": F.col(low), "_high": F.col(high), "_pack": F.pmod(F.monotonically_increasing_id(), F.lit(salts))})
+    spread = held.select(*ends).distinct().withColumn("_bucket", F.explode(F.sequence(bucket("_low"), bucket("_high"))))
+    packed = held.groupBy(*ends).agg(F.collect_list(F.struct(*others, F.lit(True).alias("_is"))).alias("_rows"))
+    met = points.withColumn("_bucket", bucket(point)).join(spread, "_bucket").where(F.col(point).between(F.col("_low"), F.col("_high"))).drop("_bucket")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = met.repartition(parts, *ends).join(packed, ends)
+    laid = both.select(*points.columns, F.col("_low").alias(low), F.col("_high").alias(high), F.inline("_rows"))
+    return laid.select(*points.columns, *ranges.columns)
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:

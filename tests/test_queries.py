@@ -98,3 +98,26 @@ def test_lateral_limit_is_ordered(spark, tmp_path):
 
     windows = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)", got._jdf.queryExecution().executedPlan().toString())
     assert windows and all("o_totalprice" in w and "o_orderkey" in w for w in windows), windows
+
+
+def test_range_join_packs_equal_ranges(spark):
+    """Ranges of equal ends meet points as packs: the joins give few rows where the result has many, and no pair is lost, made twice or out of its columns."""
+    from logweave.operators import joins
+
+    points = [(i, i % 40 / 4.0) for i in range(200)] + [(900, None), (901, -3.0)]
+    ranges = [("a", 1, 3)] * 2 + [(f"n{i}", 2, 5) for i in range(500)] + [("wide", -7, 30), ("none", 4, 3), ("open", None, 3), (None, 2, 5)]
+    got = joins.range_join(spark.createDataFrame(points, "i long, v double"), "v", spark.createDataFrame(ranges, "name string, lo int, hi int"), "lo", "hi", 2)
+    assert got.columns == ["i", "v", "name", "lo", "hi"]
+    rows = got.collect()
+    want = [(i, v, n, lo, hi) for i, v in points for n, lo, hi in ranges if v is not None and lo is not None and lo <= v <= hi]
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
+    assert joins.range_join(spark.createDataFrame(points, "i long, v double"), "v", spark.createDataFrame(ranges, "name string, lo int, hi int").select("lo", "hi"), "lo", "hi", 2).count() == len(want)
+
+    def plans(p):
+        yield p
+        below = [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(k) for k in range(p.children().size())]
+        for x in below:
+            yield from plans(x)
+
+    made = [p.metrics().apply("numOutputRows").value() for p in plans(got._jdf.queryExecution().executedPlan()) if "Join" in p.nodeName()]
+    assert len(want) > 30_000 and made and max(made) < len(want) / 10, (made, len(want))
