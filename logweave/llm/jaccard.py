@@ -19,7 +19,9 @@ cost only, and leaders supply links that were tested: no link is lost.
 Classes are named by 128 bits and their size, and numbered once they are
 written.  Their texts are shuffled only where pairs are tested, and of those
 few others than the pairs' own; what a step wrote on the way goes when it ends.
-Where all texts or all tokens must be shuffled, they are in SLICES, one after another.
+Where all texts or all tokens must be shuffled, they are in SLICES, one after another;
+so are the queries that meet groups, and the groups opened, in as many slices as
+keep a slice's rows in proportion to the classes.
 
 Defined results: null, empty and word-less texts have size 0 and are linked
 with nothing; fewer words than four are one shingle; repeated rows are each
@@ -30,6 +32,8 @@ others; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +44,15 @@ from .components import components
 
 WIDTH, PERCENT = 4, 85
 KEYS = 4  # minhash keys that offer leaders
-LAP = 2  # tokens that prefixes must share
+LAP = 4  # tokens that prefixes must share; unlike texts share 2 by chance, so often that those hits grow with the square of the input
 SAMPLE, FREQUENT, MOST_FREQUENT = 32, 3, 1 << 21  # 1 of 32 documents; that often there; 16 MB of hashes at most
 BITS = 1024  # of a parity sketch
 LONG = BITS // 2  # sets from that size on have counts too
 SLOTS = 1 << 21  # by which texts are told from those of pairs; so many numbers are broadcast at most, 16 MB
 SLICES = 4  # of the texts and of the tokens, shuffled one after another: the disk holds one slice's shuffle files at a time
 PER_BLOCK = 256  # members or queries, on average
+MET, ASKED = 16, 1  # rows a class that a slice of the hits and of the opened groups shuffles, on average
+LEAST_MET, LEAST_ASKED = 1 << 21, 1 << 17  # rows for which no further slice is made
 NO_ID = -(2**63)
 
 
@@ -178,9 +184,9 @@ def prefixes(texts: DataFrame, width: int, percent: int, frequent: np.ndarray) -
     return texts.select("node", "text").mapInArrow(run, "token long, node long, n int")
 
 
-def in_slice(k: int, *columns: str) -> Column:
-    """Rows of the slice k of SLICES, all that are equal in the columns."""
-    return F.pmod(F.xxhash64(*columns), F.lit(SLICES)) == k
+def in_slice(k: int, *columns: str, of: int = SLICES) -> Column:
+    """Rows of the slice k, all that are equal in the columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(of)) == k
 
 
 def shared_by(rows: DataFrame, by: str) -> DataFrame:
@@ -200,20 +206,28 @@ def several_classes(matrix: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(slices(), "shared-slices")
 
 
-def qualifying(several: DataFrame, percent: int) -> DataFrame:
+def qualifying(several: DataFrame, percent: int, n_classes: int) -> DataFrame:
     """(node, grp) where the class shares LAP prefix tokens with the union of a group that holds a fitting size and a class not linked to it yet.
 
     Takes the rows of ``several_classes``.  Groups are summed up by token before
     they meet the queries, so a token that very many classes of one group share
-    is a single row on that side, and the other side can be split.
+    is a single row on that side, and the other side can be split.  Queries and
+    groups that meet at a token grow faster than the input; they are shuffled in
+    slices of queries, of about MET rows for each class.
     """
     rows = written(several.join(written(shared_by(several, "comp"), "live-tokens"), "token", "left_semi"), "live-matrix")
-    union = rows.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"))
-    met = rows.drop("grp").join(written(union, "unions"), "token")
-    met = met.where(f"100 * high >= {percent} * n and 100 * n >= {percent} * low and (first <> comp or last <> comp)")
-    # Sets too small for LAP tokens share as many as they have.
-    hits = met.groupBy("node", "grp").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    return hits.where(F.col("shared") >= F.least(F.lit(LAP), F.col("n"))).select("node", "grp")
+    union = written(rows.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("c")), "unions")
+    meetings = union.groupBy("token").agg(F.count("*").alias("groups"), F.sum("c").alias("c")).agg(F.sum(F.col("groups").cast("double") * F.col("c"))).first()[0] or 0
+    slices = max(1, math.ceil(meetings / max(MET * n_classes, LEAST_MET)))
+
+    def hits(k):
+        met = rows.where(in_slice(k, "node", of=slices)).drop("grp").join(union.drop("c"), "token")
+        met = met.where(f"100 * high >= {percent} * n and 100 * n >= {percent} * low and (first <> comp or last <> comp)")
+        # Sets too small for LAP tokens share as many as a link needs.
+        shared = met.groupBy("node", "grp").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+        return shared.where(f"shared >= least({LAP}, ({percent} * n + 99) div 100)").select("node", "grp")
+
+    return written((hits(k) for k in range(slices)), "hits")
 
 
 COLUMNS = ["node", "comp", "n", "bits", "counts"]
@@ -302,13 +316,20 @@ def placed_documents(docs: DataFrame, parts: int, width: int = WIDTH, percent: i
     def asking():
         matrix = lambda: written(prefixes(of_class, width, percent, frequent_tokens(of_class, width)), "matrix")
         several = finished(spark, "shared-matrix", lambda: several_classes(matrix(), nodes))  # the matrix, mostly tokens of one class, goes
-        return qualifying(several, percent).join(nodes.select(*COLUMNS), "node").select("grp", *COLUMNS)
+        return qualifying(several, percent, nodes.count())
 
     asked = finished(spark, "asked", asking)
 
     def linking():
         of_asked = nodes.join(written(asked.select("grp").distinct(), "asked-groups"), "grp", "left_semi").select("grp", *COLUMNS)
-        more = verified(written(opened_pairs(asked, of_asked, percent, parts), "opened"), of_class, width, percent)
+        slices = max(1, math.ceil(asked.count() / max(ASKED * nodes.count(), LEAST_ASKED)))
+
+        def opened(k):
+            mine = in_slice(k, "grp", of=slices)
+            return opened_pairs(asked.where(mine).join(nodes.select(*COLUMNS), "node").select("grp", *COLUMNS), of_asked.where(mine), percent, parts)
+
+        found = written((opened(k) for k in range(slices)), "opened-slices")
+        more = verified(written(found.distinct(), "opened"), of_class, width, percent)
         return components(written(links.unionByName(more), "all-links"))
 
     linked = finished(spark, "components", linking)

@@ -560,6 +560,60 @@ def test_jaccard_shuffles_texts_and_tokens_in_slices(spark, monkeypatch):
     assert "matrix" in live["matrix"] and not {"matrix", "shared-tokens", "shared-slices"} & set(live["unions"])
 
 
+def test_jaccard_meets_and_opens_groups_in_slices(spark, monkeypatch):
+    """Queries that meet groups and the groups opened are shuffled a slice at a time; each pair is found whatever its slice."""
+    from logweave.llm import jaccard
+
+    rng, rows = random.Random(19), []
+    for family in range(24):
+        words = sentence(rng, 70).split()
+        for k in range(7):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), k % 4):
+                changed[at] = f"w{family}x{k}x{at}"
+            rows.append((100 * family + k, " ".join(changed)))
+    # Short sets need all their tokens: a text of four to seven words has one to four shingles.
+    rows += [(5000 + k, " ".join(f"s{k % 5}y{i}" for i in range(4 + k % 4))) for k in range(20)]
+    counts, write = {}, jaccard.written
+
+    def noted(df, what):
+        def parts():
+            for part in [df] if isinstance(df, DataFrame) else df:
+                counts.setdefault(what, []).append(part.count())
+                yield part
+
+        return write(parts(), what)
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    for name, value in (("KEYS", 1), ("MET", 0), ("LEAST_MET", 1500), ("ASKED", 0), ("LEAST_ASKED", 40)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(docs(spark, rows), 3).collect()}
+    assert got == brute_components(rows, 4, 85)
+    for what in ("hits", "opened-slices"):
+        assert len(counts[what]) > 1, counts
+    assert sum(n > 0 for n in counts["hits"]) > 1 and max(counts["hits"]) < 0.8 * sum(counts["hits"]), counts
+
+
+def test_jaccard_does_not_ask_groups_met_by_chance(spark, monkeypatch):
+    """Unlike texts with a few shingles in common open no group: such pairs grow with the square of the input."""
+    from logweave.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "frequent_tokens", lambda *a: jaccard.np.empty(0, jaccard.np.uint64))
+    rng = random.Random(20)
+    common = [sentence(random.Random(300 + k), 10) for k in range(12)]
+    rows = [(k, f"{sentence(rng, 150)} {common[k % 12]} {sentence(rng, 150)}") for k in range(180)]
+    asked, found = [], jaccard.qualifying
+
+    def noted(*a):
+        asked.append(found(*a).count())
+        return found(*a)
+
+    monkeypatch.setattr(jaccard, "qualifying", noted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_documents(docs(spark, rows), 3).collect()}
+    assert got == brute_components(rows, 4, 85)
+    assert asked and asked[0] < 180 * 15 * 0.05, asked
+
+
 def test_jaccard_on_documents(spark):
     from logweave.llm import jaccard
 
